@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op4_suffix_dedup": "suffix",
+    "op7_jaccard_join": "jaccard",
     "op10_substring_dedup": "substring",
 }
 
