@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 #: Sorts after every document that has an id.
 NO_ID = (1 << 63) - 1
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: shuffles are freed behind it, and Arrow batches are small.
+_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+#: Bits of the filter that :func:`maybe_in` sends to all tasks, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -26,12 +29,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the shuffles behind it are freed at once."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _CONF}
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +54,42 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+def maybe_in(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a long hash) is not in ``few``; none of the others is lost.
+
+    A bitmap of a fixed number of bits goes to every task, so that what a following join drops is not shuffled first. With
+    more and more keys it lets more rows pass, and costs no more.
+    """
+    spark = rows.sparkSession
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("int")
+    words = few.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            at = b.column("_slot").to_numpy()
+            hit = (bits[at >> 6] >> (at & 63)) & 1
+            if hit.any():
+                yield b.filter(pa.array(hit.astype(bool))).drop_columns(["_slot"])
+
+    return rows.withColumn("_slot", slot).mapInArrow(keep, rows.schema)
+
+
+def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column``, or of one row."""
+    for b in batches:
+        at = blob(b.column(column))[1]
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary Arrow column without nulls as one array, and the n + 1 places where values begin."""
     n = len(column)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import batch_of, blob, scratch
+from .common import batch_of, blob, scratch, small
 
 #: Turns a batch's bytes and document places into symbols and document places among them.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -56,7 +56,7 @@ def _segments(docs: DataFrame, units: Units, width: int, gram: int, wide: bool)
     schema = _SEGS if wide else "anchor long, s1 long, _id long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             data, places = blob(b.column("raw"))
             ids, hashes = (b.column(c).to_numpy() for c in ("_id", "_h"))
             symbols, at = units(data, places)
@@ -99,7 +99,7 @@ def repeated(docs: DataFrame, units: Units, width: int, gram: int, earlier: bool
     schema = _WINS
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             data, places = blob(b.column("raw"))
             symbols, at = units(data, places)
             ids, hashes = (b.column(c).to_numpy() for c in ("_id", "_h"))
