@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
+    "op1_sum_of_squares_packing": "packing",
     "op4_suffix_dedup": "suffix",
     "op7_jaccard_join": "jaccard",
     "op10_substring_dedup": "substring",
