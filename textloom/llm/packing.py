@@ -85,12 +85,12 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
         for b in small(batches):
             names, rows = b.column("doc_id"), []
             for i, got in enumerate(tokens.ids(path).of([x.decode() for x in b.column("raw").to_pylist()])):
-                whole = np.append(got, np.uint32(END)).astype("<u4")
-                first = (len(whole) - 1) % capacity + 1
-                start, end, k = 0, first, 0
-                while start < len(whole):
+                whole = got + END.to_bytes(4, "little")
+                total = len(whole) // 4
+                start, end, k = 0, (total - 1) % capacity + 1, 0
+                while start < total:
                     n = end - start
-                    rows.append((i, k, start, n, zlib.crc32(whole[start:end].tobytes()), task, int(ranks[n])))
+                    rows.append((i, k, start, n, zlib.crc32(whole[4 * start : 4 * end]), task, int(ranks[n])))
                     ranks[n] += 1
                     start, end, k = end, end + capacity, k + 1
             cols = list(zip(*rows, strict=True))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 
-import numpy as np
-
-#: A word that the tokenizer treats by itself: its own splitting pattern, and how many words a process keeps.
-KEPT_WORDS = 200_000
+#: Pieces that a process keeps in each of two generations, about 0.2 KB each.
+KEPT_WORDS = 500_000
 
 
 def default_path() -> str:
@@ -17,11 +16,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level BPE vocabulary writes each byte, for str.translate of Latin-1 text."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids:
-    """ids(text) equals the tokenizer's encode(text, add_special_tokens=False).ids for a byte-level BPE tokenizer.
+    """of(texts): for each text the tokenizer's encode(text, add_special_tokens=False).ids, as little-endian 32-bit bytes.
 
-    Such a tokenizer splits a text by a pattern and encodes each piece by itself, so pieces seen before are looked up; the
-    tokenizer encodes those not seen. A text that holds one of its special tokens goes to the tokenizer whole.
+    A byte-level BPE tokenizer splits a text by a pattern and encodes each piece by itself, so the tokenizer's model gets
+    every piece once, and pieces seen before are looked up. Pieces not used in a whole generation are forgotten. A text that
+    holds one of the special tokens goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -31,26 +38,32 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        pieces = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        fresh = list({p for ps in pieces if ps for p in ps if p not in self.known})
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.known = {}
-            fresh = list({p for ps in pieces if ps for p in ps})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[p] = e.ids
-        get = self.known.__getitem__
-        for i, ps in enumerate(pieces):
-            if ps is None:
-                ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-            else:
-                ids = [x for p in ps for x in get(p)]
-            out[i] = np.array(ids, np.uint32)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self.young) >= KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        self.young[piece] = got
+        return got
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            pieces = self.split(text)
+            found = list(map(self.young.get, pieces))
+            if None in found:
+                found = [f if f is not None else self.young.get(p) or self._learn(p) for f, p in zip(found, pieces, strict=True)]
+            out.append(b"".join(found))
         return out
 
 
