@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_sum_of_squares_packing": "packing",
+    "op2_host_reputation": "hosts",
+    "op3_hash_tree_sharding": "sharding",
     "op4_suffix_dedup": "suffix",
     "op7_jaccard_join": "jaccard",
     "op10_substring_dedup": "substring",
@@ -20,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .hosts import OP2_SQL
+
+    return {"op2_host_reputation": OP2_SQL}
