@@ -40,9 +40,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(_id, _h, doc_id, raw): raw is the UTF-8 text, empty for null; rows alike in _id and _h are copies of one row.
 
+    With ``whole``, also a struct ``row`` of all columns.
+
     A null id counts as larger than all others. Other columns are left behind, whatever their names.
     """
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
@@ -51,6 +53,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         F.xxhash64(raw).alias("_h"),
         F.col(doc_id).alias("doc_id"),
         raw.alias("raw"),
+        *([F.struct(*docs.columns).alias("row")] if whole else []),
     )
 
 

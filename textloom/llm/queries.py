@@ -12,7 +12,9 @@ _WHERE = {
     "op2_host_reputation": "hosts",
     "op3_hash_tree_sharding": "sharding",
     "op4_suffix_dedup": "suffix",
+    "op6_simhash_decontamination": "decontaminate",
     "op7_jaccard_join": "jaccard",
+    "op9_language_id": "language",
     "op10_substring_dedup": "substring",
 }
 

@@ -19,6 +19,18 @@ WINDOW, SEED = 13, 5
 _OUT = "_id long, _h long, n_words long, n_removed long, n_repeats long, kept_sha256 string, kept binary"
 
 
+def _without(raw: bytes, spans: pa.ListArray, row: int, window: int) -> bytes:
+    """The text without the words that the spans cover, each with the white space behind it."""
+    data = np.frombuffer(raw, np.uint8)
+    _, _, starts, _ = words(data, np.array([0, len(data)]))
+    mask = covered(spans, row, window, len(starts))
+    upto = np.r_[starts[1:], len(data)]
+    flags = np.zeros(len(data) + 1, np.int8)
+    np.add.at(flags, starts[mask], 1)
+    np.add.at(flags, upto[mask], -1)
+    return data[np.cumsum(flags[:-1]) == 0].tobytes()
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, n_repeats, kept_sha256, kept): words that a repeat covers are removed.
 
@@ -48,13 +60,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
                     gone, runs = int(mask.sum()), int(np.count_nonzero(np.diff(np.r_[0, mask.view(np.int8)]) == 1))
                     parts = [w for w, m in zip(parts, mask.tolist(), strict=True) if not m]
                     if with_text:
-                        data = np.frombuffer(raw, np.uint8)
-                        _, _, starts, _ = words(data, np.array([0, len(data)]))
-                        upto = np.r_[starts[1:], len(data)]  # a word goes with the white space behind it
-                        flags = np.zeros(len(data) + 1, np.int8)
-                        np.add.at(flags, starts[mask], 1)
-                        np.add.at(flags, upto[mask], -1)
-                        raw = data[np.cumsum(flags[:-1]) == 0].tobytes()
+                        raw = _without(raw, listed, i, window)
                 for o, v in zip(out, (n, gone, runs, hashlib.sha256(b" ".join(parts)).hexdigest(), raw if with_text else None), strict=True):
                     o.append(v)
             yield batch_of(_OUT, [b.column("_id"), b.column("_h"), *out])
@@ -65,6 +71,30 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     )
 
 
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """``docs`` with the repeats cut out of their texts, and without the documents of which no word is left by that.
+
+    A column ``n_chars`` is set to the new length where a text was cut. Other rows and columns stay as they are.
+    """
+    rows = keyed(docs, doc_id, text, whole=True)
+    spans = repeated(rows, as_words, window, seed, True, name="substring")
+    schema = rows.select("row").schema.add("cut", "boolean").add("kept", "string")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed, raws = b.column("spans"), b.column("raw")
+            touched = listed.is_valid().to_numpy(zero_copy_only=False)
+            kept = [_without(raws[i].as_py(), listed, i, window).decode() if t else None for i, t in enumerate(touched.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(touched), pa.array(kept, pa.string())], names=["row", "cut", "kept"])
+
+    found = rows.select("_id", "_h", "raw", "row").join(spans, ["_id", "_h"], "left").select("raw", "row", "spans").mapInArrow(cut, schema)
+    found = found.where("not cut or kept rlike '[^ \\t-\\r]'")
+    new = {text: F.when(F.col("cut"), F.col("kept")).otherwise(F.col("row")[text])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("cut"), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
