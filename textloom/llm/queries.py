@@ -12,8 +12,10 @@ _WHERE = {
     "op2_host_reputation": "hosts",
     "op3_hash_tree_sharding": "sharding",
     "op4_suffix_dedup": "suffix",
+    "op5_separator_scan": "tokencount",
     "op6_simhash_decontamination": "decontaminate",
     "op7_jaccard_join": "jaccard",
+    "op8_archive_media": "media",
     "op9_language_id": "language",
     "op10_substring_dedup": "substring",
 }

@@ -28,10 +28,10 @@ class Ids:
 
     A byte-level BPE tokenizer splits a text by a pattern and encodes each piece by itself, so the tokenizer's model gets
     every piece once, and pieces seen before are looked up. Pieces not used in a whole generation are forgotten. A text that
-    holds one of the special tokens goes to the tokenizer whole.
+    holds one of the special tokens goes to the tokenizer whole; with ``ordinary``, such strings are text like other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
@@ -40,7 +40,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -68,5 +68,5 @@ class Ids:
 
 
 @functools.cache
-def ids(path: str) -> Ids:
-    return Ids(path)
+def ids(path: str, ordinary: bool = False) -> Ids:
+    return Ids(path, ordinary)
