@@ -5,6 +5,9 @@ Recovery: lineage is cut with Parquet tables below ``spark.checkpoint.dir`` only
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 
 #: Sorts after every document that has an id.
 NO_ID = (1 << 63) - 1
-#: While a scratch table is written: shuffles are freed behind it, and Arrow batches are small.
-_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+#: While a scratch table is written, shuffles are freed behind it.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Small Arrow batches, so that neither executors nor Python workers hold much of a long text at once.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: Bits of the filter that :func:`maybe_in` sends to all tasks, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -26,17 +31,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches; they hold for what is run later, so they are not set back."""
+    for k, most in _BATCHES.items():
+        if not 0 < int(spark.conf.get(k).rstrip("b")) <= most:
+            spark.conf.set(k, str(most))
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the shuffles behind it are freed at once."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    before = {k: spark.conf.get(k) for k in _CONF}
-    for k, v in _CONF.items():
-        spark.conf.set(k, v)
+    small_batches(spark)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,7 +93,7 @@ def maybe_in(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_slot", slot).mapInArrow(keep, rows.schema)
 
 
-def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``, or of one row."""
     for b in batches:
         at = blob(b.column(column))[1]
@@ -91,6 +102,15 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 4
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    tidy()
+
+
+def tidy() -> None:
+    """Give back what this process does not use; Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

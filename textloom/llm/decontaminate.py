@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blob, small
+from .common import blob, small, small_batches
 from .rolling import Prefix, mix, words
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.75, 22, 8
@@ -113,6 +113,7 @@ class Index:
 
 def _indexes(items: DataFrame, item_id: str, text: str, k: int) -> Iterator[Index]:
     """Indexes of blocks of items; together they hold all items."""
+    small_batches(items.sparkSession)
     rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).where("item_id is not null").distinct()
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("b")).first()
     rounds = max(1, -(-size.n // MOST_ITEMS), -(-size.b // MOST_BYTES))

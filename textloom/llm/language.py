@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, small_batches
 from .rolling import U, mix
 
 #: Documents that the classifier is fitted on, at most (up to chance); n-grams of 1 to ORDER characters; hashed features.
@@ -122,6 +122,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     The driver gets one row for each language, at most ``FEATURES`` document frequencies, and the n-gram counts of about
     ``sample`` documents; a fifth of these is left out of the training and sets the temperature.
     """
+    small_batches(labelled.sparkSession)
     rows = _ready(labelled, text, F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(doc_id), F.lit("sample")), F.lit(1 << 30)).alias("draw")).where("letters and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -170,6 +171,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", *keep: Column) -> DataFrame:
     """(keep ..., lang_pred, score): ``und`` with score 0 for null texts, texts without a letter, or without a model."""
+    small_batches(docs.sparkSession)
     rows = _ready(docs, text, *keep)
     names = rows.columns[2:]
     schema = rows.select(*names).schema.add("lang_pred", "string").add("score", "double")

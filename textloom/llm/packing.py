@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(cols[0])), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        tokens.ids(path).rest()
 
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     return docs.select(F.col(doc_id).alias("doc_id"), raw.alias("raw")).mapInArrow(run, schema)

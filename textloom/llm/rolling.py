@@ -6,7 +6,6 @@ mixing function, so a byte and a word are handled alike. Two odd bases give 128
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +33,24 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-@functools.cache
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse modulo 2^64."""
-    base = _BASES[which]
-    up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _room(n: int) -> int:
-    return max(2 * BLOCK, 1 << int(n).bit_length())
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers of a base and of its inverse modulo 2^64; a process keeps one table for each base."""
+    if which not in _tables or len(_tables[which][0]) < n:
+        base, size = _BASES[which], max(BLOCK + (1 << 12), 1 << (n - 1).bit_length())
+        up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        _tables[which] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return _tables[which]
 
 
 class Prefix:
     """Prefix hashes of a symbol array: the hash of any range in constant time."""
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
-        up, self.down = powers(which, _room(len(symbols) + 1))
+        up, self.down = powers(which, len(symbols) + 1)
         self.sums = np.zeros(len(symbols) + 1, U)
         np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:], dtype=U)
 
@@ -84,7 +83,7 @@ def words(data: np.ndarray, places: np.ndarray, fold: bool = False) -> tuple[np.
     table = _FOLDED if fold else _BYTES
     i = 0
     while i < len(starts):  # whole words up to about a block of bytes
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 4 * BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
         low = starts[i]
         h = Prefix(table[data[low : ends[j - 1]]])
         size = ends[i:j] - starts[i:j]

@@ -61,6 +61,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
                 yield flush()
         if names:
             yield flush()
+        tokens.ids(path, True).rest()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).mapInArrow(run, schema)
 

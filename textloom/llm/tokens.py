@@ -7,7 +7,7 @@ import os
 from array import array
 
 #: Pieces that a process keeps in each of two generations, about 0.2 KB each.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def default_path() -> str:
@@ -53,6 +53,10 @@ class Ids:
         self.young[piece] = got
         return got
 
+    def rest(self) -> None:
+        """Between tasks only one generation is kept."""
+        self.old = {}
+
     def of(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
