@@ -5,20 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .sources import table
+from . import streaming
+from .operators import AREAS, sequential
+from .plans.sql import oracle, plan
 
 
-def _census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(folded, F.lit("[a-z]+"), 0)).alias("tok"))
-    return tokens.groupBy("tok").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "tok")
+def _texts() -> dict[str, str]:
+    return {name: text for area in AREAS for name, text in area.QUERIES.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"vocab_census": _census}
+    return {name: plan(text) for name, text in _texts().items()} | sequential.QUERIES | streaming.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle(text) for name, text in _texts().items()} | streaming.ORACLES

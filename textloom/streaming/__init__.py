@@ -1 +1,69 @@
-"""Part of textloom."""
+"""Structured Streaming over the events table: windows with watermarks, deduplication, and a keyed online predictor."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import table
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def tumbling(rows: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    return rows.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def sliding(rows: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    return rows.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    return rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def distinct_events(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id")
+
+
+def running_mean(rows: DataFrame) -> DataFrame:
+    """(event_type, n, mean): a predictor's state for each key, updated with every batch."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(key, batches, state):
+        import pandas as pd
+
+        n, total = state.get if state.exists else (0, 0.0)
+        for b in batches:
+            n, total = n + len(b), total + float(b["value"].fillna(0).sum())
+        state.update((n, total))
+        yield pd.DataFrame({"event_type": [key[0]], "n": [n], "mean": [total / n if n else 0.0]})
+
+    return rows.groupBy("event_type").applyInPandasWithState(update, "event_type string, n long, mean double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """What a stream gives once it has read all there is, as a table in memory (for queries and tests)."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_tumbling": lambda s, d: drained(tumbling(events(s, d)), "complete", "stream_tumbling"),
+    "stream_sliding": lambda s, d: drained(sliding(events(s, d)), "complete", "stream_sliding"),
+    "stream_sessions": lambda s, d: drained(sessions(events(s, d)), "complete", "stream_sessions"),
+    "stream_distinct": lambda s, d: drained(distinct_events(events(s, d)), "append", "stream_distinct"),
+    "stream_running_mean": lambda s, d: drained(running_mean(events(s, d)), "update", "stream_running_mean"),
+}
+#: What the streams give in the end, as SQL over the whole table.
+ORACLES = {
+    "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_distinct": "SELECT event_id, user_id FROM events",
+}
