@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 from array import array
 
 #: Pieces that a process keeps in each of two generations, about 0.2 KB each.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def default_path() -> str:
@@ -54,8 +55,9 @@ class Ids:
         return got
 
     def rest(self) -> None:
-        """Between tasks only one generation is kept."""
-        self.old = {}
+        """Between tasks no more than one generation's worth is kept."""
+        if len(self.young) + len(self.old) > KEPT_WORDS:
+            self.old = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -65,8 +67,11 @@ class Ids:
                 continue
             pieces = self.split(text)
             found = list(map(self.young.get, pieces))
-            if None in found:
-                found = [f if f is not None else self.young.get(p) or self._learn(p) for f, p in zip(found, pieces, strict=True)]
+            i = -1
+            with contextlib.suppress(ValueError):  # until no piece is unknown
+                while True:
+                    i = found.index(None, i + 1)
+                    found[i] = self.young.get(pieces[i]) or self._learn(pieces[i])
             out.append(b"".join(found))
         return out
 
