@@ -12,7 +12,7 @@ QUERIES = {
     "id_gaps": "SELECT o_custkey, o_orderkey, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS gap FROM @orders",
     "block_sort": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(text, 20, 40), doc_id) AS place FROM @documents",
     "revid_rank": f"SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, pos) - 1 AS r FROM ({_SRC})",
-    "lehmer_small": f"SELECT a.source, a.doc_id, count(b.doc_id) AS smaller_later FROM ({_SRC}) a LEFT JOIN ({_SRC}) b ON a.source = b.source AND a.source <> 'src0' AND b.pos > a.pos AND b.n_chars < a.n_chars GROUP BY a.source, a.doc_id",
+    "lehmer_small": f"SELECT a.source, a.doc_id, count(b.doc_id) AS smaller_later FROM ({_SRC}) a LEFT JOIN ({_SRC}) b ON a.source = b.source AND b.pos > a.pos AND b.n_chars < a.n_chars GROUP BY a.source, a.doc_id",
     "class_plan": "SELECT p.event_type, p.event_id, b.event_id AS partner FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM @events) p JOIN (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k FROM @events) b ON p.event_type = b.event_type AND p.k = b.k",
     "used_ranks": "SELECT u.o_custkey, r.c_custkey FROM (SELECT o_custkey, o_custkey % 50 AS g, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_custkey) AS j FROM (SELECT DISTINCT o_custkey FROM @orders)) u JOIN (SELECT c_custkey, c_custkey % 50 AS g, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_acctbal, c_custkey) AS j FROM @customer) r ON u.g = r.g AND u.j = r.j",
     "longest_regular_run": f"SELECT source, first_pos, n FROM (SELECT source, first_pos, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_pos) AS k FROM (SELECT source, min(pos) AS first_pos, count(*) AS n FROM (SELECT source, pos, pos - row_number() OVER (PARTITION BY source ORDER BY pos) AS island FROM ({_REG}) WHERE ok) GROUP BY source, island)) WHERE k = 1",

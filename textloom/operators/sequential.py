@@ -66,7 +66,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "stem_tokens": lambda s, d: stemmed_tokens(_docs(s, d)).groupBy("english").agg(F.count("*").alias("n")),
     "language_vote": lambda s, d: language_vote(_docs(s, d)).groupBy("doc_id", "language").agg(F.count("*").alias("n")),
-    "lehmer_codes": lambda s, d: _docs(s, d).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: x["n_chars"]).alias("v")).select("lang", mapped(lambda v: coding.lehmer(list(v)), "array<long>")("v").alias("code")),
     "text_segments": lambda s, d: _docs(s, d).select("doc_id", F.explode(mapped(lambda b: [{"kind": k, "start": a, "length": n} for k, a, n in coding.segments(b)], "array<struct<kind:string,start:long,length:long>>")(_raw("text"))).alias("x")).select("doc_id", "x.*"),
     "bracket_context": lambda s, d: _docs(s, d).select("doc_id", mapped(lambda t: max(coding.brackets(t), default=0), "long")("text").alias("deepest_context")),
     "ppm_cost": lambda s, d: _docs(s, d).select("doc_id", mapped(coding.ppm_bits, "double")(_raw("text")).alias("bits")),

@@ -1,7 +1,6 @@
 """Tags, content flags, brackets, sentences, numbers (survey 2.6 to 2.8)."""
 
 _TAGS = "SELECT page_id, n, element_at_1(tags, n) AS tag FROM (SELECT page_id, tags, explode(sequence(1, size(tags))) AS n FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>', 0) AS tags FROM @pages) WHERE size(tags) > 0)"
-_CHARS = "SELECT doc_id, n, substr(text, n, 1) AS c FROM (SELECT doc_id, text, explode(sequence(1, length(text))) AS n FROM @documents WHERE length(text) BETWEEN 1 AND 4000)"
 _CHARS = "SELECT doc_id, n, element_at_1(cs, n) AS c FROM (SELECT doc_id, cs, explode(sequence(1, size(cs))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?s).', 0) AS cs FROM @documents) WHERE size(cs) > 0)"
 _SENT = "SELECT doc_id, explode(regexp_extract_all(text, '[^.?!]+[.?!]', 0)) AS s FROM @documents"
 _STEP = "CASE WHEN c IN ('(', '[', '{') THEN 1 WHEN c IN (')', ']', '}') THEN -1 ELSE 0 END"

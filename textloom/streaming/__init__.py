@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
+from ..sources.shared import shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +49,26 @@ def running_mean(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_type").applyInPandasWithState(update, "event_type string, n long, mean double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """What a stream gives once it has read all there is, as a table in memory (for queries and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str, name: str, key: list[str] | None = None) -> DataFrame:
+    """What a stream gives once it has read all there is, as a table in the shared folder, where its state lies too.
+
+    Each batch is a folder of its own, so a batch that is run again replaces itself. In mode complete the last batch counts,
+    in mode update the last row of each ``key``, in mode append every row.
+    """
+    spark, path = stream.sparkSession, shared_dir(stream.sparkSession, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.withColumn("batch", F.lit(0)).schema).parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), "batch").alias("last")).select(*key, "last.*")
+    return rows.select(*stream.columns)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -60,10 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_sliding": lambda s, d: drained(sliding(events(s, d)), "complete", "stream_sliding"),
     "stream_sessions": lambda s, d: drained(sessions(events(s, d)), "complete", "stream_sessions"),
     "stream_distinct": lambda s, d: drained(distinct_events(events(s, d)), "append", "stream_distinct"),
-    "stream_running_mean": lambda s, d: drained(running_mean(events(s, d)), "update", "stream_running_mean"),
+    "stream_running_mean": lambda s, d: drained(running_mean(events(s, d)), "update", "stream_running_mean", ["event_type"]).withColumn("mean", F.round("mean", 6)),
 }
 #: What the streams give in the end, as SQL over the whole table.
 ORACLES = {
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_sliding": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '30' MINUTE, ts) - unnest([0, 30]) * INTERVAL '1' MINUTE AS start FROM events) GROUP BY start",
+    "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN ts <= before + INTERVAL '30' MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s",
+    "stream_running_mean": "SELECT event_type, count(*) AS n, round(avg(coalesce(value, 0)), 6) AS mean FROM events GROUP BY event_type",
     "stream_distinct": "SELECT event_id, user_id FROM events",
 }
