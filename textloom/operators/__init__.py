@@ -1,5 +1,5 @@
 """Relational operators by area: each area is a dict from a query's name to its SQL."""
 
-from . import costs, dictionary, markup, ordering, records, relational, structure
+from . import costs, dictionary, language, markup, ordering, records, relational, structure
 
-AREAS = (records, markup, dictionary, ordering, structure, costs, relational)
+AREAS = (records, markup, dictionary, ordering, structure, language, costs, relational)
