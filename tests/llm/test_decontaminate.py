@@ -2,6 +2,7 @@ import math
 
 import brute
 import fixtures
+import numpy as np
 
 from textloom.llm import decontaminate
 
@@ -73,3 +74,37 @@ def test_index_misses_none_within_the_radius():
             p ^= 1 << b
         assert i in index.within(p)
         assert set(index.within(p)) == {j for j in range(50) if (int(index.prints[j]) ^ p).bit_count() <= decontaminate.RADIUS}
+
+
+def test_words_inserted_in_a_passage(spark):
+    import random
+
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(100000)}" for _ in range(n)]
+    head, tail, docs, items = say(5), say(5), [], []
+    for i in range(200):
+        words = [*head, *say(31 + i % 4), *tail]
+        items.append((i, " ".join(words)))
+        if i < 6:
+            half = len(words) // 2
+            docs.append((i, " ".join([*say(50), *words[:half], *say(2), *words[half:], *say(50)])))
+    got = decontaminate.contaminated(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_force(docs, items)
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got) == want and len(want) > 2
+    assert {r.first_word for r in got} == {51}
+
+
+def test_every_start_that_can_be_like_an_item_is_laid():
+    import random
+
+    r = random.Random(7)
+    for _ in range(60):
+        texts = [" ".join(r.choice("abcd") for _ in range(r.randint(1, 14))) for _ in range(6)]
+        doc = " ".join(r.choice("abcd") for _ in range(r.randint(1, 60))).encode()
+        index = decontaminate.Index(list(range(6)), [t.encode() for t in texts], 2)
+        s = decontaminate._shingles(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]), 2)[0]
+        laid = index.windows(s, 0.6)
+        for item, size in enumerate(index.sizes):
+            for start in range(max(0, len(s) - size) + 1):
+                own = np.unique(s[start : start + size])
+                assert (start, size) in laid or index.similarity(item, own, index.weight(own)) < 0.6

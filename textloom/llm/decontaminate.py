@@ -1,11 +1,12 @@
 """Operator 6, benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming blocks, and exact
 weighted-shingle similarity for what they find.
 
-A document is read once, against a block of benchmark items. Windows as long as an item are laid wherever one of the item's
-shingles stands (any other window shares no shingle with it, so its similarity is 0). A window's fingerprint is looked up in
-``BLOCKS`` tables, one for each block of its bits: of two fingerprints within ``RADIUS`` bits, some block differs in at most
-RADIUS // BLOCKS bits, and the tables list all such values, so none within the radius is missed. What is within the radius is
-verified by the weighted Jaccard similarity of the shingle sets.
+A document is read once, against a block of benchmark items. Windows as long as an item are laid at every start where what they
+share with the item weighs at least the least similarity times the item's weight (a union weighs no less than the item, so any
+other window is less similar). A window's fingerprint is looked up in ``BLOCKS`` tables, one for each block of its bits: of two
+fingerprints within ``RADIUS`` bits, some block differs in at most RADIUS // BLOCKS bits, and the tables list all such values, so
+none within the radius is missed. Items of the window's size within the radius are verified by the weighted Jaccard similarity of
+the shingle sets.
 """
 
 from __future__ import annotations
@@ -50,18 +51,17 @@ class Index:
         rows = _shingles(data, np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)], k)
         keep = [i for i, r in enumerate(rows) if len(r)]
         self.ids, self.k, self.radius, self.blocks = [ids[i] for i in keep], k, radius, blocks
-        rows = [rows[i] for i in keep]
-        self.sizes = [len(r) for r in rows]
+        self.sizes = [len(rows[i]) for i in keep]
+        self.own = rows = [np.unique(rows[i]) for i in keep]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        self.hashes, n = np.unique(np.concatenate([np.unique(r) for r in rows]) if rows else flat, return_counts=True)
+        self.hashes, n = np.unique(flat, return_counts=True)
         self.rare = float(np.log1p(len(rows)))
         self.weights = np.log1p(len(rows) / n)
-        owner, place = np.repeat(np.arange(len(rows)), self.sizes), np.concatenate([np.arange(s) for s in self.sizes]) if rows else np.zeros(0, int)
         order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.place = flat[order], owner[order], place[order]
-        self.sets = [dict(zip(u.tolist(), self.weight(u).tolist(), strict=True)) for u in map(np.unique, rows)]
-        self.totals = [sum(s.values()) for s in self.sets]
-        self.prints = np.array([fingerprint(u, self.weight(u)) for u in map(np.unique, rows)], np.uint64)
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(rows)), [len(u) for u in rows])[order]
+        self.sets = [dict(zip(u.tolist(), self.weight(u).tolist(), strict=True)) for u in rows]
+        self.totals = np.array([sum(s.values()) for s in self.sets])
+        self.prints = np.array([fingerprint(u, self.weight(u)) for u in rows], np.uint64)
         self.tables: list[dict[int, list[int]]] = [{} for _ in range(blocks)]
         width, reach = 64 // blocks, radius // blocks
         near = [sum(1 << b for b in c) for n in range(reach + 1) for c in itertools.combinations(range(width), n)]
@@ -86,25 +86,47 @@ class Index:
         both = sum(w for h, w in zip(hashes.tolist(), weights.tolist(), strict=True) if h in own)
         return both / (self.totals[item] + float(weights.sum()) - both)
 
+    def windows(self, shingles: np.ndarray, least: float) -> set[tuple[int, int]]:
+        """(start, size) of the windows of a document that can have similarity ``least`` to an item of their size."""
+        laid: set[tuple[int, int]] = set()
+        if not len(self.flat) or not len(shingles):
+            return laid
+        kinds = np.unique(shingles)
+        low, high = np.searchsorted(self.flat, kinds), np.searchsorted(self.flat, kinds, "right")
+        n = high - low
+        if not n.any():
+            return laid
+        at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        bound = self.totals * (least - 1e-9)
+        some = np.flatnonzero(np.bincount(self.owner[at], np.repeat(self.weight(kinds), n), len(bound)) >= bound)
+        if not len(some):
+            return laid
+        order = np.argsort(shingles, kind="stable")
+        before = np.full(len(shingles), -1)  # the last place of the same shingle
+        again = np.flatnonzero(shingles[order[1:]] == shingles[order[:-1]])
+        before[order[again + 1]] = order[again]
+        for item in some.tolist():
+            size, own = self.sizes[item], self.own[item]
+            p = np.flatnonzero(own[np.minimum(np.searchsorted(own, shingles), len(own) - 1)] == shingles)
+            # the starts of windows in which a place is the first of its shingle
+            first, end = np.maximum(p - size, before[p]) + 1, np.minimum(p, max(0, len(shingles) - size)) + 1
+            p, first, end = p[first < end], first[first < end], end[first < end]
+            w = self.weight(shingles[p])
+            points, step = np.unique(np.r_[first, end], return_inverse=True)
+            both = np.cumsum(np.bincount(step, np.r_[w, -w]))
+            for i in np.flatnonzero(both[:-1] >= bound[item]).tolist():
+                laid.update((start, size) for start in range(points[i], points[i + 1]))
+        return laid
+
     def found(self, shingles: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
         """Of a document's shingles: item -> (similarity, first word) of its best window with similarity ``least``."""
         best: dict[int, tuple[float, int]] = {}
-        if not len(self.flat) or not len(shingles):
-            return best
-        low = np.searchsorted(self.flat, shingles)
-        hits = np.flatnonzero(self.flat[np.minimum(low, len(self.flat) - 1)] == shingles)
-        if not len(hits):
-            return best
-        high = np.searchsorted(self.flat, shingles[hits], "right")
-        laid = set()
-        for p, i, j in zip(hits.tolist(), low[hits].tolist(), high.tolist(), strict=True):
-            for own, q in set(zip(self.owner[i:j].tolist(), self.place[i:j].tolist(), strict=True)):
-                size = self.sizes[own]
-                laid.add((max(0, min(p - q, len(shingles) - size)), size))
-        for start, size in laid:
+        for start, size in self.windows(shingles, least):
             own = np.unique(shingles[start : start + size])
             weights = self.weight(own)
             for item in self.within(int(fingerprint(own, weights))):
+                if self.sizes[item] != size:
+                    continue
                 s = self.similarity(item, own, weights)
                 if s >= least and (item not in best or (s, -start) > (best[item][0], -best[item][1])):
                     best[item] = (s, start)
