@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from textloom.operators.scans import within
+from textloom.operators.scans import QUERIES, within
 from textloom.plans.ordered import scan, smaller_later
 
 
@@ -56,3 +56,12 @@ def test_empty(spark):
     none = frame(spark, [], 1)
     assert scan(none, ["k"], ["i"], number="n").columns == ["k", "i", "v", "n"] and scan(none, ["k"], ["i"], number="n").count() == 0
     assert smaller_later(none, ["k"], ["i"], "v").count() == 0 and within(none, ["k"], "v", 5, "n").count() == 0
+
+
+def test_block_sort_reads_the_whole_key(spark, tmp_path):
+    same = "first line\nsecond line\n" + "x" * 100
+    texts = [same + "b", same + "a", "z\nz\n" + "x" * 100, "one line", "two\nlines", "", None, "a\r\n\nw\u2028y"]
+    spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda i: "\n".join((texts[i] or "").split("\n")[2:])
+    want = {i: n + 1 for n, i in enumerate(sorted(range(len(texts)), key=lambda i: (key(i), i)))}
+    assert {r.doc_id: r.place for r in QUERIES["block_sort_whole"](spark, str(tmp_path)).collect()} == want

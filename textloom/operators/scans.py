@@ -29,6 +29,11 @@ def _block_sort(s: SparkSession, d: str) -> DataFrame:
     return scan(rows, ["source"], ["head", "doc_id"], number="place").select("source", "doc_id", "place")
 
 
+def _block_sort_whole(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "documents").select("source", "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "^[^\\n]*\\n?[^\\n]*\\n?", "").alias("key"))
+    return scan(rows, ["source"], ["key", "doc_id"], number="place").select("source", "doc_id", "place")
+
+
 def _revid_rank(s: SparkSession, d: str) -> DataFrame:
     return scan(_places(s, d), ["source"], ["n_chars", "pos"], number="k").select("source", "doc_id", (F.col("k") - 1).alias("r"))
 
@@ -141,6 +146,7 @@ QUERIES = {
     "run_labels_inverse": _run_labels_inverse,
     "run_lengths": lambda s, d: labelled(s, d).groupBy("source", "label").agg(F.count("*").alias("n")),
     "block_sort": _block_sort,
+    "block_sort_whole": _block_sort_whole,
     "revid_rank": _revid_rank,
     "longest_regular_run": _longest_regular_run,
     "reorder_plan": _reorder_plan,
@@ -164,6 +170,7 @@ _HIT = "CASE WHEN value > 50 THEN 1 ELSE 0 END"
 _BEFORE = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 #: SQL of those that have no plan as text.
 ORACLES = {
+    "block_sort_whole": r"SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY regexp_replace(coalesce(text, ''), '^[^\n]*\n?[^\n]*\n?', ''), doc_id) AS place FROM documents",
     "lehmer_codes": "SELECT a.lang, a.doc_id, count(b.doc_id) AS code FROM documents a LEFT JOIN documents b ON a.lang = b.lang AND b.doc_id > a.doc_id AND b.n_chars < a.n_chars GROUP BY a.lang, a.doc_id",
     "bit_history": f"SELECT event_type, event_id, count(*) {_BEFORE} - coalesce(sum({_HIT}) {_BEFORE}, 0)::BIGINT AS n0, coalesce(sum({_HIT}) {_BEFORE}, 0)::BIGINT AS n1, lag({_HIT}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS last FROM events",
 }
