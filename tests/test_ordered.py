@@ -65,3 +65,18 @@ def test_block_sort_reads_the_whole_key(spark, tmp_path):
     key = lambda i: "\n".join((texts[i] or "").split("\n")[2:])
     want = {i: n + 1 for n, i in enumerate(sorted(range(len(texts)), key=lambda i: (key(i), i)))}
     assert {r.doc_id: r.place for r in QUERIES["block_sort_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_move_to_front_rank(spark, tmp_path):
+    r = random.Random(9)
+    used = {1: "ABABB", 2: "".join(r.choice("ABCDEFG") for _ in range(120)), 3: "AAA"}
+    rows = [(u, 1000 * u + i, t) for u, types in used.items() for i, t in enumerate(types)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.rank for r in QUERIES["move_to_front_rank"](spark, str(tmp_path)).collect()}
+    want = {}
+    for u, types in used.items():
+        front = []
+        for i, t in enumerate(types):
+            want[1000 * u + i] = front.index(t) if t in front else len(front)
+            front = [t, *(x for x in front if x != t)]
+    assert got == want and [got[1000 + i] for i in range(5)] == [0, 1, 1, 1, 0]

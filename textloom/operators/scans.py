@@ -111,6 +111,19 @@ def _move_to_front(s: SparkSession, d: str) -> DataFrame:
     return scan(first, ["user_id"], ["event_id"], sums={"kinds": "fresh"}).select("user_id", "event_id", (F.col("kinds") - F.col("fresh")).alias("distinct_before"))
 
 
+def _move_to_front_rank(s: SparkSession, d: str) -> DataFrame:
+    """Distinct types of the user since the type's last event; at a first event, all types the user had before.
+
+    With places from 1 and ``prev`` the place of the type's last event, 0 without, the types in between are the events there
+    whose own ``prev`` is at most that: all events between, less those before that have a larger ``prev``.
+    """
+    rows = scan(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], number="pos")
+    rows = scan(rows, ["user_id", "event_type"], ["pos"], lags={"prev": "pos"}).withColumn("prev", F.coalesce("prev", F.lit(0)))
+    rows = rows.select("user_id", "event_id", "pos", "prev", (-F.col("pos")).alias("back"), (-F.col("prev")).alias("nearer"))
+    rows = smaller_later(rows, ["user_id"], ["back"], "nearer", "larger")
+    return rows.select("user_id", "event_id", (F.col("pos") - 1 - F.col("prev") - F.col("larger")).alias("rank"))
+
+
 def _asof_last(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "click", F.col("event_id")).alias("click"))
     rows = scan(rows, ["user_id"], ["ts", "event_id"], maxes={"top": "click"})
@@ -162,14 +175,17 @@ QUERIES = {
     "id_delta": lambda s, d: _id_delta(s, d).drop("ts"),
     "id_from_delta": _id_from_delta,
     "move_to_front": _move_to_front,
+    "move_to_front_rank": _move_to_front_rank,
     "asof_last": _asof_last,
     "session_window": _sessions,
     "range_join": _range_join,
 }
 _HIT = "CASE WHEN value > 50 THEN 1 ELSE 0 END"
 _BEFORE = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_USES = "SELECT *, coalesce(lag(pos) OVER (PARTITION BY user_id, event_type ORDER BY pos), 0) AS prev FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events)"
 #: SQL of those that have no plan as text.
 ORACLES = {
+    "move_to_front_rank": f"SELECT a.user_id, a.event_id, count(DISTINCT b.event_type) AS rank FROM ({_USES}) a LEFT JOIN ({_USES}) b ON a.user_id IS NOT DISTINCT FROM b.user_id AND b.pos > a.prev AND b.pos < a.pos GROUP BY a.user_id, a.event_id",
     "block_sort_whole": r"SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY regexp_replace(coalesce(text, ''), '^[^\n]*\n?[^\n]*\n?', ''), doc_id) AS place FROM documents",
     "lehmer_codes": "SELECT a.lang, a.doc_id, count(b.doc_id) AS code FROM documents a LEFT JOIN documents b ON a.lang = b.lang AND b.doc_id > a.doc_id AND b.n_chars < a.n_chars GROUP BY a.lang, a.doc_id",
     "bit_history": f"SELECT event_type, event_id, count(*) {_BEFORE} - coalesce(sum({_HIT}) {_BEFORE}, 0)::BIGINT AS n0, coalesce(sum({_HIT}) {_BEFORE}, 0)::BIGINT AS n1, lag({_HIT}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS last FROM events",
