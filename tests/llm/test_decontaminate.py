@@ -108,3 +108,23 @@ def test_every_start_that_can_be_like_an_item_is_laid():
             for start in range(max(0, len(s) - size) + 1):
                 own = np.unique(s[start : start + size])
                 assert (start, size) in laid or index.similarity(item, own, index.weight(own)) < 0.6
+
+
+def test_rounds_do_not_change_the_similarity(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    say = lambda n: [f"w{r.randrange(100000)}" for _ in range(n)]
+    head, tail, docs, items = say(60), say(60), [], []
+    for i in range(60):
+        words = [*head, *say(16), *tail]
+        items.append((i, " ".join(words)))
+        if i < 18:
+            words[68 : 68 + i % 3] = say(i % 3)
+            docs.append((i, " ".join([*say(9), *words, *say(9)])))
+    frame, bench = fixtures.frame(spark, docs), spark.createDataFrame([*items, (90, None), (91, " ")], "item_id long, text string")
+    rows = lambda: sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.first_word) for x in decontaminate.contaminated(frame, bench).collect())
+    once, kept = rows(), sorted(x.doc_id for x in decontaminate.without_contaminated(frame, bench).collect())
+    assert [x[:3] for x in once] == sorted(brute_force(docs, items)) and len(once) == 12
+    monkeypatch.setattr(decontaminate, "MOST_ITEMS", 13)
+    assert rows() == once and sorted(x.doc_id for x in decontaminate.without_contaminated(frame, bench).collect()) == kept

@@ -44,9 +44,13 @@ def fingerprint(hashes: np.ndarray, weights: np.ndarray) -> np.uint64:
 
 
 class Index:
-    """Items by their shingles, and their fingerprints by Hamming blocks."""
+    """Items by their shingles, and their fingerprints by Hamming blocks.
 
-    def __init__(self, ids: list, texts: list[bytes], k: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS):
+    ``whole`` is of a benchmark of which these are a part: its number of items, and its shingles of two items or more, ascending,
+    with their numbers of items. Without it these are all items.
+    """
+
+    def __init__(self, ids: list, texts: list[bytes], k: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         data = np.frombuffer(b"".join(texts), np.uint8)
         rows = _shingles(data, np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)], k)
         keep = [i for i, r in enumerate(rows) if len(r)]
@@ -54,9 +58,9 @@ class Index:
         self.sizes = [len(rows[i]) for i in keep]
         self.own = rows = [np.unique(rows[i]) for i in keep]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        self.hashes, n = np.unique(flat, return_counts=True)
-        self.rare = float(np.log1p(len(rows)))
-        self.weights = np.log1p(len(rows) / n)
+        count, self.hashes, n = (len(rows), *np.unique(flat, return_counts=True)) if whole is None else whole
+        self.rare = float(np.log1p(count))
+        self.weights = np.log1p(count / n)
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner = flat[order], np.repeat(np.arange(len(rows)), [len(u) for u in rows])[order]
         self.sets = [dict(zip(u.tolist(), self.weight(u).tolist(), strict=True)) for u in rows]
@@ -72,6 +76,8 @@ class Index:
 
     def weight(self, hashes: np.ndarray) -> np.ndarray:
         """log(1 + items / items with the shingle); a shingle of no item counts as one of a single item."""
+        if not len(self.hashes):
+            return np.full(len(hashes), self.rare)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.weights[at], self.rare)
 
@@ -133,15 +139,34 @@ class Index:
         return best
 
 
+def _whole(rows: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many items have a shingle, and the shingles of two items or more with their numbers of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            own = [np.unique(r) for r in _shingles(*blob(b.column("raw")), k) if len(r)]
+            if own:
+                # an item gives a null besides its shingles
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.nulls(len(own), pa.int64())])], names=["h"])
+
+    got = rows.select("raw").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or h is null").toArrow()
+    h, n = got.column("h"), got.column("n").to_numpy()
+    alone = h.is_null().to_numpy()
+    hashes, n, total = h.filter(h.is_valid()).to_numpy().view(np.uint64), n[~alone], int(n[alone].sum())
+    order = np.argsort(hashes)
+    return total, hashes[order], n[order]
+
+
 def _indexes(items: DataFrame, item_id: str, text: str, k: int) -> Iterator[Index]:
-    """Indexes of blocks of items; together they hold all items."""
+    """Indexes of blocks of items; together they hold all items, and all weigh shingles by the whole benchmark."""
     small_batches(items.sparkSession)
     rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).where("item_id is not null").distinct()
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("b")).first()
     rounds = max(1, -(-size.n // MOST_ITEMS), -(-size.b // MOST_BYTES))
+    whole = _whole(rows, k) if rounds > 1 else None
     for i in range(rounds):
         part = rows.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(rounds)) == i).orderBy("item_id", "raw").toArrow()
-        yield Index(part.column("item_id").to_pylist(), part.column("raw").to_pylist(), k)
+        yield Index(part.column("item_id").to_pylist(), part.column("raw").to_pylist(), k, whole=whole)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
