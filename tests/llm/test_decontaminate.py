@@ -128,3 +128,12 @@ def test_rounds_do_not_change_the_similarity(spark, monkeypatch):
     assert [x[:3] for x in once] == sorted(brute_force(docs, items)) and len(once) == 12
     monkeypatch.setattr(decontaminate, "MOST_ITEMS", 13)
     assert rows() == once and sorted(x.doc_id for x in decontaminate.without_contaminated(frame, bench).collect()) == kept
+
+
+def test_items_of_null_id_count_in_the_filter(spark, monkeypatch):
+    item = " ".join(f"i{j}" for j in range(30))
+    frame = fixtures.frame(spark, [(1, f"before it {item} after it"), (2, " ".join(f"d{j}" for j in range(50))), (3, None)])
+    bench = spark.createDataFrame([(None, item), (4, " ".join(f"o{j}" for j in range(30))), (None, None)], "item_id long, text string")
+    for most in (10_000, 1):
+        monkeypatch.setattr(decontaminate, "MOST_ITEMS", most)
+        assert sorted(r.doc_id for r in decontaminate.without_contaminated(frame, bench).collect()) == [2, 3]

@@ -157,10 +157,11 @@ def _whole(rows: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
     return total, hashes[order], n[order]
 
 
-def _indexes(items: DataFrame, item_id: str, text: str, k: int) -> Iterator[Index]:
-    """Indexes of blocks of items; together they hold all items, and all weigh shingles by the whole benchmark."""
+def _indexes(items: DataFrame, item_id: str, text: str, k: int, named: bool = True) -> Iterator[Index]:
+    """Indexes of blocks of items; together they hold all items, with ``named`` those of an id, and all weigh shingles by the whole benchmark."""
     small_batches(items.sparkSession)
-    rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).where("item_id is not null").distinct()
+    rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw")).distinct()
+    rows = rows.where("item_id is not null") if named else rows
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("b")).first()
     rounds = max(1, -(-size.n // MOST_ITEMS), -(-size.b // MOST_BYTES))
     whole = _whole(rows, k) if rounds > 1 else None
@@ -195,8 +196,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows in which :func:`contaminated` finds an item; nothing is shuffled."""
-    for index in _indexes(items, "item_id", "text", k):
+    """``docs`` without the rows in which :func:`contaminated` finds an item, or would if its id were not null; nothing is shuffled."""
+    for index in _indexes(items, "item_id", "text", k, named=False):
         sent = docs.sparkSession.sparkContext.broadcast(index)
         rows = docs.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"), F.struct(*docs.columns).alias("row"))
 
