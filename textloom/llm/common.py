@@ -44,23 +44,39 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again: what was made of them has been written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_number(docs: DataFrame, doc_id: str) -> None:
+    """Refuse ids that are not whole numbers, before any of them is read."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{doc_id} has to be a column of whole numbers, not of {kind}")
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(_id, _h, doc_id, raw): raw is the UTF-8 text, empty for null; rows alike in _id and _h are copies of one row.
 
-    With ``whole``, also a struct ``row`` of all columns.
+    With ``whole``, a struct ``row`` of all columns takes the place of doc_id and raw.
 
-    A null id counts as larger than all others. Other columns are left behind, whatever their names.
+    A null id counts as 2^63 - 1, the largest; ids that are not whole numbers raise a TypeError. Other columns are left
+    behind, whatever their names.
     """
+    whole_number(docs, doc_id)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     return docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(raw).alias("_h"),
-        F.col(doc_id).alias("doc_id"),
-        raw.alias("raw"),
-        *([F.struct(*docs.columns).alias("row")] if whole else []),
+        *([F.struct(*docs.columns).alias("row")] if whole else [F.col(doc_id).alias("doc_id"), raw.alias("raw")]),
     )
 
 

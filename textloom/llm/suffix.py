@@ -1,8 +1,9 @@
 """Operator 4, substring dedup of long byte strings by a hash-compared suffix sort.
 
 Suffixes are sorted by a mergesort whose comparisons find the common extension of two suffixes by binary search on prefix
-polynomial hashes (logarithmic in the length), and neighbours that agree over the whole length are verified byte by byte.
-The engine in :mod:`repeats` picks which suffixes have to be sorted at all and merges the sorted blocks across tasks.
+polynomial hashes (logarithmic in the length). Neighbours in the order are verified byte by byte, which proves the order, and
+those that agree over the whole length repeat. The engine in :mod:`repeats` picks which suffixes have to be sorted at all and
+brings all that can be equal into one block.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, keyed
-from .repeats import as_bytes, by_hash, covered, repeated
-from .rolling import Prefix
+from .common import keyed
+from .repeats import CLAIMS, Block, Decide, Marks, as_bytes, repeated, verified
+from .rolling import Prefix, bytes_as_symbols
 
 LENGTH, GRAM = 200, 137
 _LEAD = 24
@@ -80,69 +81,87 @@ class Suffixes:
         return order
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The order, and which suffix begins a new class of suffixes that agree over the whole length."""
+        """The order, and which suffix begins a new class of suffixes that agree over the whole length.
+
+        The order is proved by bytes: each suffix and the next agree as far as the hashes say, and there the next is larger. If
+        that fails anywhere, hashes collided, and the bytes alone sort.
+        """
         order = self.sort()
         new = np.ones(len(order), bool)
-        if len(order) > 1:
-            a, b = order[:-1], order[1:]
-            same = self.common(a, b) == self.length
-            at = np.flatnonzero(same)
-            for i in range(0, len(at), 4096):  # the hashes agree: the bytes have to
-                part = at[i : i + 4096]
-                span = np.arange(self.length)
-                same[part] = (self.data[self.starts[a[part]][:, None] + span] == self.data[self.starts[b[part]][:, None] + span]).all(axis=1)
-            new[1:] = ~same
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.length) if len(order) else None
+        for i in range(0, len(order) - 1, 4096):
+            a, b = order[i : i + 4096], order[i + 1 : i + 4097]
+            a = a[: len(b)]
+            x, y = rows[self.starts[a]], rows[self.starts[b]]
+            apart = x != y
+            first = np.where(apart.any(axis=1), apart.argmax(axis=1), self.length)
+            lcp, at = self.common(a, b), np.arange(len(a))
+            inner = np.minimum(first, self.length - 1)
+            if not ((first == lcp) & ((first == self.length) | (x[at, inner] < y[at, inner]))).all():
+                return self._by_bytes(rows)
+            new[i + 1 : i + 1 + len(a)] = first < self.length
+        return order, new
+
+    def _by_bytes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = np.ascontiguousarray(rows[self.starts])
+        order = np.lexsort(every.T[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = (every[order[1:]] != every[order[:-1]]).any(axis=1)
         return order, new
 
 
-def by_suffix_sort(symbols: np.ndarray, data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window, taken once for each class of the block's suffix sort."""
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    spans = np.unique(starts)
-    # close up the gaps between the places that are looked at, so that the block is as long as what it holds
-    cut = np.flatnonzero(np.diff(spans) > width) + 1
-    first, last = spans[np.r_[0, cut]], spans[np.r_[cut - 1, len(spans) - 1]] + width
-    at = np.concatenate([np.arange(i, j) for i, j in zip(first, last, strict=True)])
-    moved = np.r_[0, np.cumsum(last - first)][np.searchsorted(first, starts, "right") - 1] + starts - first[np.searchsorted(first, starts, "right") - 1]
-    order, new = Suffixes(data[at], symbols[at], moved, width).classes()
-    heads = order[new]
-    h1, h2 = by_hash(symbols, data, starts[heads], width)
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return h1[of], h2[of]
+def sorting(length: int) -> Decide:
+    """Which windows of a block's runs occur again, and where: neighbours in the sorted order of all suffixes that start one."""
 
+    def decide(b: Block) -> tuple[np.ndarray, np.ndarray]:
+        starts = b.places[b.run] + b.step
+        order, new = Suffixes(b.data, bytes_as_symbols(b.data), starts, length).classes()
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        listed = np.lexsort([b.step, b.rank[b.run], of])  # each class from its first place in the corpus to its last
+        head = np.flatnonzero(np.r_[True, of[listed[1:]] != of[listed[:-1]]])
+        first, last = listed[head], listed[np.r_[head[1:], len(listed)] - 1]
+        again = np.bincount(of, b.weight[b.run]) > 1
+        own = np.flatnonzero(b.asked[b.run] & again[of])
+        return own, np.where(first[of[own]] == own, last[of[own]], first[of[own]])
 
-_OUT = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return decide
+
+
+_OUT = "doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, " + CLAIMS
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): without bytes covered by a ``length``-byte string that starts twice.
 
     Null text is empty; documents shorter than ``length`` stay whole; of a repeated row, and of copies, every byte that a
-    string of that length covers goes. Null ids are kept as null. ``kept`` is binary, since a cut may fall inside a character.
+    string of that length covers goes. Null ids are kept as null; ids that are not whole numbers raise a TypeError. Empty tables
+    give empty results. ``kept`` is binary, since a cut may fall inside a character.
     """
     rows = keyed(docs, doc_id, text)
-    spans = repeated(rows, as_bytes, length, gram, False, by_suffix_sort, name="suffix")
+    out = _OUT.format(kind=docs.schema[doc_id].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            listed, raws = b.column("spans"), b.column("raw")
-            touched = listed.is_valid().to_numpy(zero_copy_only=False)
+            found: list[list] = [[] for _ in range(5)]
+            marks, raws = Marks(b, length), b.column("raw")
             for i in range(b.num_rows):
                 raw = kept = raws[i].as_py()
-                gone = runs = 0
-                if touched[i]:
-                    mask = covered(listed, i, length, len(raw))
+                mask, gone, runs = marks.of(i, raw)[0], 0, 0
+                if mask.any():
                     gone, runs = int(mask.sum()), int(np.count_nonzero(np.diff(np.r_[0, mask.view(np.int8)]) == 1))
                     kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                for o, v in zip(out, (len(raw), gone, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+                for o, v in zip(found, (len(raw), gone, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
                     o.append(v)
-            yield batch_of(_OUT, [b.column("_id"), *out])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            arrays = [b.column("doc_id"), *(pa.array(v, k) for v, k in zip(found, kinds, strict=True)), marks.claimed()]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "claims"])
+
+    def once(attempt: int) -> DataFrame:
+        marks = repeated(rows, as_bytes, length, gram, False, sorting(length), "suffix", attempt)
+        return rows.join(marks, ["_id", "_h"], "left").select("_id", "_h", "doc_id", "raw", "marks").mapInArrow(cut, out)
 
-    found = rows.select("_id", "_h", "raw").join(spans, ["_id", "_h"], "left").mapInArrow(cut, _OUT)
-    return found.select(F.when(F.col("_id") != (1 << 63) - 1, F.col("_id")).alias("doc_id"), *[c for c in found.columns if c != "_id"])
+    return verified(once, "suffix")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
