@@ -137,3 +137,37 @@ def test_items_of_null_id_count_in_the_filter(spark, monkeypatch):
     for most in (10_000, 1):
         monkeypatch.setattr(decontaminate, "MOST_ITEMS", most)
         assert sorted(r.doc_id for r in decontaminate.without_contaminated(frame, bench).collect()) == [2, 3]
+
+
+def test_an_item_whose_halves_stand_the_other_way_round(spark):
+    words = [f"w{i}" for i in range(48)]
+    docs = [(1, " ".join(["before", *words[24:], *words[:24], "behind"])), (2, " ".join(words[::-1])), (3, " ".join([*words[:20], *words[:20], *words[20:]]))]
+    items = [(7, " ".join(words))]
+    got = decontaminate.contaminated(fixtures.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_force(docs, items)
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got) == want and [w[:2] for w in want] == [(1, 7), (3, 7)]
+
+
+def near_and_far(rounds=3000):
+    """Of pairs of sets of similarity 0.75 to 0.8: whether the index gives one for the other; and how many of others it takes up."""
+    r = np.random.default_rng(9)
+    found, taken, others = 0, 0, 0
+    for k in range(rounds):
+        size = int(r.choice([8, 12, 20, 40, 80]))
+        own = np.unique(r.integers(0, 1 << 63, size + 2).astype(np.uint64))[:size]
+        new = max(1, int(size * 0.14))  # of size, so many replaced: (size - new) / (size + new) is 0.75 or a little more
+        like = np.r_[own[:-new], np.unique(r.integers(0, 1 << 63, new).astype(np.uint64))]
+        assert 0.74 < (size - new) / (size + new) < 0.9
+        a, b = (decontaminate.fingerprint(np.sort(x), np.ones(len(x))) for x in (own, like))
+        far = np.stack([decontaminate.fingerprint(r.integers(0, 1 << 63, size).astype(np.uint64), np.ones(size)) for _ in range(4)])
+        blocks = decontaminate.Blocks(np.vstack([a[None, :], far]), decontaminate.RADIUS, decontaminate.NEAR)
+        found += 0 in blocks.within(b).tolist()
+        taken += int((blocks.candidates(b) > 0).sum())
+        others += len(far)
+    return found / rounds, taken / others
+
+
+def test_recall_of_the_radius_and_share_of_candidates():
+    recall, share = near_and_far()
+    print(f"recall {recall:.4f}, candidates {share:.4f}")
+    assert recall >= 0.99 and share < 0.02
