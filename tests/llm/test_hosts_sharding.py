@@ -53,3 +53,81 @@ def test_movement_stays_in_the_subtree(spark):
     region = {s.shard: s.region for s in old}
     assert both and all(region[r.b] == region[5] for r in both)
     assert all(r.b == 5 or region[r.a] != region[5] or r.b // 4 == 1 for r in both)
+
+
+def verdicts(spark, rows, bad):
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(bad, "id long, bad boolean")
+    return hosts.judge(pages, labels)
+
+
+def test_few_labels_block_nothing(spark):
+    rows = [(i, f"http://h{i % 7}.example{i % 3}.com/x") for i in range(60)] + [(100, None)]
+    for bad in ([], [(3, True)], [(3, True), (4, True)], [(3, False)], [(3, True), (10, True)]):
+        got = verdicts(spark, rows, bad).collect()
+        assert {r.verdict for r in got} == {"allow"} and len(got) == 61
+        assert all(0 < r.bad_share < 1 and 0 <= r.risk <= 1 for r in got)
+
+
+def test_hosts_are_judged_by_their_own_pages_and_their_domain(spark):
+    rows = [(i, f"http://h{i % 40}.{'spam' if i % 40 < 20 else 'fine'}.com/x") for i in range(1600)] + [(5000, "http://new.spam.com/"), (5001, "http://new.fine.com/"), (5002, "http://spam.com/")]
+    bad = [(i, i % 40 < 20 and i % 10 < 8) for i in range(1600) if i % 2]
+    got = {r.host: r for r in verdicts(spark, rows, bad).collect()}
+    assert got["h3.spam.com"].verdict == "block" and got["h30.fine.com"].verdict == "allow"
+    assert got["new.spam.com"].bad_share > 0.5 > got["new.fine.com"].bad_share and got["new.fine.com"].verdict == "allow"
+
+
+def test_the_chance_below_is_that_of_the_beta_distribution():
+    import math
+
+    import numpy as np
+
+    for x, a, b in [(0.5, 2, 2), (0.2, 0.3, 5), (0.9, 50, 10), (0.3, 30, 80), (0.01, 1.5, 1.5), (0.0, 2, 3), (1.0, 2, 3), (0.24, 300, 900)]:
+        u = (np.arange(400_000) + 0.5) / 400_000
+        y, weight = (u ** (1 / a), (1 - u ** (1 / a)) ** (b - 1)) if a < 1 else (u, np.exp((a - 1) * np.log(u) + (b - 1) * np.log1p(-u) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)))
+        part, whole = weight[y < x].sum(), weight.sum()
+        assert abs(hosts.beta_below(np.array([x]), np.array([a]), np.array([b]))[0] - part / whole) < 1e-3
+
+
+def test_many_rules_give_the_verdicts_of_few(spark, monkeypatch):
+    rows = [(i, u) for i, u in enumerate(["http://com/en/", "http://a.example.com/en/7x", "http://b.example.net/de/85", "http://net/de/", "http://x.org/es/", "http://xorg/es/", None, "http://example.com/en/8", "http://net./de/1"])]
+    rules = [*hosts.RULES, hosts.Rule("allow", "com", "/en/"), hosts.Rule("block", "a.example.com", "/e")]
+    keep = lambda: sorted(map(repr, hosts.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "id long, bad boolean"), rules=rules).select("page_id", "host", "path", "rule", "verdict").collect()))
+    few = keep()
+    monkeypatch.setattr(hosts, "PLAN_RULES", 0)
+    assert keep() == few
+
+
+def test_placements_one_by_one(spark):
+    """Every draw again in Python: by region, rack and shard, the least -ln(u) / weight of a hash of key and path."""
+    import hashlib
+    import math
+
+    shards = [s._replace(weight=1.0 + s.shard % 3) for s in sharding.tree(24)] + [sharding.Shard("lone", "r", 90, 2.5), sharding.Shard("lone", "r", 91, 0.0)]
+
+    def place(key):
+        members, path = [s for s in shards if s.weight > 0], ""
+        for level in range(3):
+            names = list(dict.fromkeys(str(m[level]) for m in members))
+            if len(names) > 1:
+                def draw(name):
+                    digest = hashlib.md5(f"{key}{path}/{name}".encode()).hexdigest()
+                    return -math.log((int(digest[:13], 16) + 0.5) / 2**52) / sum(m.weight for m in members if str(m[level]) == name)
+                name = min(names, key=draw)
+            else:
+                name = names[0]
+            members, path = [m for m in members if str(m[level]) == name], f"{path}/{name}"
+        return members[0].shard
+
+    ids = [*range(-200, 2000), 2**63 - 1, None]
+    frame = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in sharding.assign(frame, shards).collect()}
+    assert got == {i: place("" if i is None else i) for i in ids} and 91 not in got.values()
+
+
+def test_sharding_is_that_of_the_sql(spark):
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(sharding.OP3_SQL)
+    got = sharding.op3_hash_tree_sharding(spark, "/root/testdata/sf0.001")
+    assert sorted(map(repr, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))

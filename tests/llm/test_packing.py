@@ -75,3 +75,34 @@ def test_plan_is_near_the_rule_one_by_one():
     assert used <= naive(sizes.tolist(), 100) + 3 and used <= least + 6
     big = packing.plan({k: 10**9 * k for k in range(1, 101)}, 100)  # counts do not matter for the time
     assert sum(n for _, _, n, _, _ in big) == sum(10**9 * k for k in range(1, 101)) and len(big) < 10_000
+
+
+def test_the_rule_is_followed_item_by_item():
+    r = np.random.default_rng(8)
+    for k in range(12):
+        sizes = np.clip(r.lognormal(2.5, 0.9, 500).astype(int) + 1, 1, 60) if k % 2 else r.choice([5, 7, 13, 20, 30, 31, 50, 59, 60], 700)
+        assert sum(packing.by_rule(dict(collections.Counter(sizes.tolist())), 60).values()) == naive(sizes.tolist(), 60)
+    many = {3: 4000, 7: 3000, 11: 2500}  # thousands of one length
+    assert sum(packing.by_rule(many, 16).values()) == naive([s for s, n in many.items() for _ in range(n)], 16)
+
+
+def test_a_plan_holds_every_item_once_and_wastes_little():
+    r = np.random.default_rng(2)
+    counts = {int(s): int(n) for s, n in zip(range(1, 65), r.integers(0, 5000, 64))}
+    for items in (1, 8, 64):  # shares of many sizes
+        lines = packing.plan(counts, 64, items)
+        ranks = {s: sorted((a, n) for t, a, n, _, _ in lines if t == s) for s in counts}
+        for s, runs in ranks.items():
+            at = 0
+            for a, n in runs:
+                assert a == at
+                at += n
+            assert at == counts[s]
+        ends = collections.Counter()
+        for s, _, n, first, offset in lines:
+            for q in range(first, first + n):
+                ends[q] += s
+        assert max(ends.values()) <= 64 and set(ends) == set(range(len(ends)))
+        large = sum(n for s, n in counts.items() if s > 32)
+        assert len(ends) <= 1.08 * max(large, -(-sum(s * n for s, n in counts.items()) // 64)) + 2
+    assert packing.plan({}, 64) == []

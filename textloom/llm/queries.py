@@ -27,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .hosts import OP2_SQL
+    from .sharding import OP3_SQL
 
-    return {"op2_host_reputation": OP2_SQL}
+    return {"op2_host_reputation": OP2_SQL, "op3_hash_tree_sharding": OP3_SQL}
