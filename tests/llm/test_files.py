@@ -84,3 +84,12 @@ def test_a_member_is_tried_again_by_itself(tmp_path, monkeypatch):
     parts = reader.partitions()
     got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert len(parts) > 2 and [r["n_bytes"] for r in got] == [1] * 4 and calls == {"0-=0": 1, "1-=1": 1, "2-=2": 3, "3-=3": 1}
+
+
+def test_ids_that_a_file_cannot_hold_are_refused(spark):
+    frame = fixtures.frame(spark, [(1, "one two three")])
+    with pytest.raises(ValueError, match="does not fit"):
+        tokencount.count_tokens(frame, end=50256, width=1)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(Exception, match="an id of a text is"):
+        tokencount.count_tokens(frame, end=t.encode("one two three", add_special_tokens=False).ids[0]).collect()

@@ -128,7 +128,7 @@ class Index:
     def similarity(self, item: int, hashes: np.ndarray, weights: np.ndarray) -> float:
         own = self.own[item]
         both = float(weights[own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes].sum())
-        return both / (self.totals[item] + float(weights.sum()) - both)
+        return round(both / (self.totals[item] + float(weights.sum()) - both), 9)
 
     def windows(self, shingles: np.ndarray, least: float) -> set[tuple[int, int]]:
         """(start, size) of the windows of a document that can have similarity ``least`` to an item of their size."""
@@ -209,6 +209,8 @@ def _indexes(items: DataFrame, item_id: str, text: str, k: int, named: bool = Tr
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): documents with a window that is like an item, and the best such window.
 
+    The similarity has nine digits; of windows alike in it, the first counts.
+
     Null, empty and blank texts, of documents or items, match nothing; items of null id are left out; a text of fewer than
     ``k`` words is one shingle. Repeated documents give a row each. Empty tables give none.
     """
@@ -248,3 +250,26 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
 
 def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: All windows of an item's size in the documents that share enough weight with it, without fingerprints.
+OP6_SQL = r"""
+WITH raw AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM raw),
+each AS (SELECT kind, id, unnest(ws) AS x, unnest(generate_series(0, len(ws) - 1)) AS i, len(ws) AS n FROM w),
+run AS (SELECT kind, id, i, n, md5(string_agg(x, ' ') OVER (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS s FROM each),
+sh AS (SELECT kind, id, i, s FROM run WHERE i < greatest(n - 4, 1)),
+many AS (SELECT count(DISTINCT id) AS items FROM sh WHERE kind = 1),
+df AS (SELECT s, ln(1 + items / count(DISTINCT id)) AS weight FROM sh, many WHERE kind = 1 GROUP BY s, items),
+item AS (SELECT DISTINCT id AS item_id, s, weight FROM sh JOIN df USING (s) WHERE kind = 1),
+total AS (SELECT item_id, sum(weight) AS t FROM item GROUP BY item_id),
+size AS (SELECT id AS item_id, count(*) AS k FROM sh WHERE kind = 1 GROUP BY id),
+doc AS (SELECT id AS doc_id, i, s FROM sh WHERE kind = 0),
+long AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id),
+pair AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, s FROM doc) JOIN item USING (s) JOIN total USING (item_id) GROUP BY doc_id, item_id, t HAVING sum(weight) >= 0.7 * t),
+start AS (SELECT doc_id, item_id, k, unnest(generate_series(0, greatest(n - k, 0))) AS pos FROM pair JOIN size USING (item_id) JOIN long USING (doc_id)),
+inside AS (SELECT DISTINCT start.doc_id, start.item_id, start.pos, doc.s FROM start JOIN doc ON doc.doc_id = start.doc_id AND doc.i BETWEEN start.pos AND start.pos + k - 1),
+scored AS (SELECT doc_id, x.item_id, pos, sum(CASE WHEN item.s IS NOT NULL THEN item.weight ELSE 0 END) AS both_, sum(coalesce(df.weight, ln(1 + items))) AS own FROM inside x CROSS JOIN many LEFT JOIN df ON df.s = x.s LEFT JOIN item ON item.item_id = x.item_id AND item.s = x.s GROUP BY ALL),
+alike AS (SELECT doc_id, item_id, pos, round(both_ / (t + own - both_), 9) AS similarity FROM scored JOIN total USING (item_id))
+SELECT doc_id, item_id, max(similarity) AS similarity, min(pos) FILTER (best) AS first_word FROM (SELECT *, similarity = max(similarity) OVER (PARTITION BY doc_id, item_id) AS best FROM alike) WHERE similarity >= 0.75 GROUP BY doc_id, item_id
+"""

@@ -26,7 +26,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .decontaminate import OP6_SQL
     from .hosts import OP2_SQL
+    from .jaccard import OP7_SQL
     from .sharding import OP3_SQL
+    from .substring import OP10_SQL
+    from .suffix import OP4_SQL
 
-    return {"op2_host_reputation": OP2_SQL, "op3_hash_tree_sharding": OP3_SQL}
+    return {
+        "op2_host_reputation": OP2_SQL, "op3_hash_tree_sharding": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_simhash_decontamination": OP6_SQL, "op7_jaccard_join": OP7_SQL,
+        "op10_substring_dedup": OP10_SQL,
+    }

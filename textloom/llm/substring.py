@@ -157,3 +157,16 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: Windows by the MD5 of their words with a space between, of which no word has one.
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+each AS (SELECT doc_id, unnest(ws) AS x, unnest(generate_series(1, len(ws))) AS i FROM w),
+win AS (SELECT doc_id, i, md5(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) AS h, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM each),
+least_id AS (SELECT h, min(doc_id) AS d FROM win WHERE n = 13 GROUP BY h),
+hit AS (SELECT doc_id, i FROM win JOIN least_id USING (h) WHERE n = 13 AND d < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i, TRUE AS yes FROM hit, (SELECT unnest(generate_series(0, 12)) AS k)),
+kept AS (SELECT doc_id, count(yes) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (yes IS NULL) AS t FROM each LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

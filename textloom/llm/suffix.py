@@ -167,3 +167,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Strings by the MD5 of their hexadecimal form; a span ends where the next string starts over a length behind.
+OP4_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, hx, unnest(generate_series(0, n - 200)) AS i FROM b WHERE n >= 200)),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM win SEMI JOIN again USING (h)),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hit),
+spans AS (SELECT doc_id, span, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY doc_id, span),
+before AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM spans),
+cut AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(hx, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) || substr(any_value(hx), 2 * max(e) + 1) AS kept FROM before JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256 FROM b LEFT JOIN cut USING (doc_id)
+"""

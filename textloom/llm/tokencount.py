@@ -31,8 +31,11 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", end: int = END, width: int = WIDTH, file_tokens: int = FILE_TOKENS, tokenizer: str | None = None) -> DataFrame:
     """Tokenize into flat files below ``folder`` (any place pyarrow.fs can write); returns (file, tokens, documents: [doc_id]).
 
-    The result lists what counts: files of task attempts that were lost are not in it.
+    The result lists what counts: files of task attempts that were lost are not in it. A text with an id that is the end id or
+    does not fit into ``width`` bytes raises a ValueError: its file could not be read back.
     """
+    if end > np.iinfo(np.dtype(f"<u{width}")).max:
+        raise ValueError(f"the end id {end} does not fit into {width} bytes")
     path = tokenizer or tokens.default_path()
     kind = np.dtype(f"<u{width}")
     schema = f"file string, tokens long, documents array<{docs.schema[doc_id].dataType.simpleString()}>"
@@ -54,7 +57,10 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
 
         for b in small(batches):
             for got in tokens.ids(path, True).of([x.decode() for x in b.column("raw").to_pylist()]):
-                held.append(np.append(np.frombuffer(got, np.uint32), np.uint32(end)).astype(kind).tobytes())
+                ids = np.frombuffer(got, np.uint32)
+                if len(ids) and (int(ids.max()) > np.iinfo(kind).max or (ids == end).any()):
+                    raise ValueError(f"an id of a text is {end} or does not fit into {width} bytes")
+                held.append(np.append(ids, np.uint32(end)).astype(kind).tobytes())
                 size += len(held[-1]) // width
             names.append(b.column("doc_id"))
             if size >= file_tokens:
