@@ -1,8 +1,10 @@
 """Operator 8, media columns: a Spark data source over directories of media archives.
 
-Archives are ZIP files of PNG images, members stored as they are. The source plans byte-range partitions over the archives; a
-partition takes the members that begin in its range, and streams them through Arrow in bounded batches. A member that cannot
-be read is tried again by itself, from its offset; what was read before stays.
+Archives are ZIP files of PNG images, members stored as they are, in one directory for each task that wrote some. The source
+plans byte-range partitions over the directories, from a table of their sizes (a row for each task, no list of archives): a range
+counts through a directory's archives in the order of their names. A partition lists its own directory, takes the members that
+begin in its range, and streams them through Arrow in bounded batches. A listing or a member that cannot be read is tried again by
+itself, a member from its offset; what was read before stays.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import scratch, shared_dir, small
 
 WIDTH, PAD, ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 576, b"\xff", 16 << 20, 4 << 20, 4 << 20, 3
+#: Ranges get longer with the corpus, so that there are no more than about this many beside one for each directory.
+PARTITIONS = 20_000
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "archive string, offset long, name string, n_bytes long, payload binary, media_bytes long, media_sha256 string"
 
@@ -70,7 +74,7 @@ def decode(media: bytes) -> tuple[int, bytes]:
 
 
 def write_archives(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, members): each text as a member of an archive below ``folder`` (any place pyarrow.fs can write).
+    """(directory, archive, members, bytes): each text as a member of an archive below ``folder`` (any place pyarrow.fs can write).
 
     A member's name is its number and the id, quoted; a null id is empty. The result lists what counts: archives of task
     attempts that were lost are not in it.
@@ -78,15 +82,15 @@ def write_archives(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
         part, at, held, pack, members = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", 0, None, None, 0
+        store.create_dir(f"{root}/{part}", recursive=True)
 
         def flush() -> pa.RecordBatch:
             nonlocal at, held, pack, members
             pack.close()
-            with store.open_output_stream(f"{root}/{part}-{at:05d}.zip") as out:
+            with store.open_output_stream(f"{root}/{part}/{at:06d}.zip") as out:
                 out.write(held.getbuffer())
-            row = pa.RecordBatch.from_arrays([pa.array([f"{part}-{at:05d}.zip"]), pa.array([members])], names=["archive", "members"])
+            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{at:06d}.zip"]), pa.array([members]), pa.array([held.getbuffer().nbytes])], names=["directory", "archive", "members", "bytes"])
             at, held, pack, members = at + 1, None, None, 0
             return row
 
@@ -103,33 +107,52 @@ def write_archives(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: s
             yield flush()
 
     rows = docs.select(F.col(doc_id).cast("string").alias("name"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
-    return rows.mapInArrow(run, "archive string, members long")
+    return rows.mapInArrow(run, "directory string, archive string, members long, bytes long")
 
 
 class Range(InputPartition):
-    """The members of an archive that begin in [start, end)."""
+    """The members that begin in [start, end) of a directory's archives, one behind the other."""
 
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, directory: str, start: int, end: int):
+        self.directory, self.start, self.end = directory, start, end
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.manifest = options.get("manifest")
+        self.directories = options.get("directories")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.tries = int(options.get("tries", TRIES))
 
-    def partitions(self) -> list[Range]:
-        store, root = fs.FileSystem.from_uri(self.folder)
-        found = [i for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.path.endswith(".zip")]
-        if self.manifest:
+    def _archives(self, store: fs.FileSystem, folder: str) -> list[tuple[str, int]]:
+        """(name, size) of a directory's archives, by name."""
+        return sorted((i.base_name, i.size) for i in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.is_file and i.base_name.endswith(".zip"))
+
+    def _sizes(self) -> list[tuple[str, int]]:
+        if self.directories:
             import pyarrow.dataset as ds
 
-            other, path = fs.FileSystem.from_uri(self.manifest)
-            known = set(ds.dataset(path, filesystem=other, format="parquet").to_table(["archive"]).column("archive").to_pylist())
-            found = [i for i in found if i.base_name in known]
-        return [Range(i.base_name, s, min(i.size, s + self.range_bytes)) for i in sorted(found, key=lambda i: i.path) for s in range(0, i.size, self.range_bytes)] or [Range("", 0, 0)]
+            store, path = fs.FileSystem.from_uri(self.directories)
+            got = ds.dataset(path, filesystem=store, format="parquet").to_table(["directory", "bytes"])
+            return sorted(zip(got.column("directory").to_pylist(), got.column("bytes").to_pylist(), strict=True))
+        store, root = fs.FileSystem.from_uri(self.folder)
+        below = [i.base_name for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if not i.is_file]
+        return [(d, sum(n for _, n in self._archives(store, f"{root}/{d}".rstrip("/")))) for d in ["", *sorted(below)]]
+
+    def partitions(self) -> list[Range]:
+        sizes = self._sizes()
+        step = max(self.range_bytes, -(-sum(n for _, n in sizes) // PARTITIONS))
+        return [Range(d, s, min(n, s + step)) for d, n in sizes for s in range(0, n, step)] or [Range("", 0, 0)]
+
+    def _again(self, f):
+        """What ``f`` gives, at one of the tries."""
+        for k in range(self.tries):
+            try:
+                return f()
+            except (OSError, ValueError, struct.error, zlib.error, zipfile.BadZipFile):
+                if k + 1 == self.tries:
+                    raise
+                time.sleep(0.1 * 2**k)
 
     def _member(self, store: fs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
         """A member's bytes, from its own offset."""
@@ -149,31 +172,30 @@ class ArchiveReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
-        if partition.archive:
-            store, root = fs.FileSystem.from_uri(self.folder)
-            path = f"{root}/{partition.archive}"
+        store, root = fs.FileSystem.from_uri(self.folder)
+        folder, base = f"{root}/{partition.directory}".rstrip("/"), 0
+
+        def members(path: str) -> list[zipfile.ZipInfo]:
             with store.open_input_file(path) as f:
-                members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
-            for m in members:
-                for k in range(self.tries):
-                    try:
-                        media = self._member(store, path, m)
-                        n, payload = decode(media)
-                        break
-                    except (OSError, ValueError, struct.error, zlib.error):
-                        if k + 1 == self.tries:
-                            raise
-                        time.sleep(0.1 * 2**k)
-                rows.append((partition.archive, m.header_offset, m.filename, n, payload, len(media), hashlib.sha256(media).hexdigest()))
-                size += len(payload) + len(media)
-                if size >= BATCH_BYTES:
-                    yield batch()
-                    rows, size = [], 0
+                return zipfile.ZipFile(f).infolist()
+
+        for name, length in self._again(lambda: self._archives(store, folder)) if partition.end else ():
+            path, low, base = f"{folder}/{name}", base, base + length
+            if low >= partition.end or base <= partition.start:
+                continue
+            for m in self._again(lambda path=path: members(path)):
+                if partition.start <= low + m.header_offset < partition.end:
+                    media, (n, payload) = self._again(lambda path=path, m=m: (x := self._member(store, path, m), decode(x)))
+                    rows.append((f"{partition.directory}/{name}".lstrip("/"), m.header_offset, m.filename, n, payload, len(media), hashlib.sha256(media).hexdigest()))
+                    size += len(payload) + len(media)
+                    if size >= BATCH_BYTES:
+                        yield batch()
+                        rows, size = [], 0
         yield batch()
 
 
 class MediaArchives(DataSource):
-    """``spark.read.format("media_archives").load(folder)``; options: manifest, range_bytes, tries."""
+    """``spark.read.format("media_archives").load(folder)``; options: directories (a table of directory and bytes), range_bytes, tries."""
 
     @classmethod
     def name(cls) -> str:
@@ -207,8 +229,9 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a
     """
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "media")
     kind = docs.schema[doc_id].dataType
-    listed = scratch(write_archives(docs, folder, doc_id, text, archive_bytes), "media-manifest")
-    found = read_archives(spark, folder, manifest=listed.inputFiles()[0].rpartition("/")[0] if listed.inputFiles() else "", range_bytes=range_bytes)
+    listed = scratch(write_archives(docs, folder, doc_id, text, archive_bytes), "media-archives")
+    sizes = scratch(listed.groupBy("directory").agg(F.sum("bytes").alias("bytes")), "media-directories")
+    found = read_archives(spark, folder, directories=sizes.inputFiles()[0].rpartition("/")[0], range_bytes=range_bytes)
     quoted = F.regexp_extract("name", "=(.*)$", 1)
     own = F.when(F.col("name").contains("="), F.url_decode(quoted)).cast(kind)
     schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
