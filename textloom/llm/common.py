@@ -8,7 +8,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ NO_ID = (1 << 63) - 1
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Small Arrow batches, so that neither executors nor Python workers hold much of a long text at once.
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: What frees the caches that an operator keeps in a Python process from task to task.
+CACHES: list[Callable[[], None]] = []
 #: Bits of the filter that :func:`maybe_in` sends to all tasks, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -105,8 +107,10 @@ def maybe_in(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_slot", slot).mapInArrow(keep, rows.schema)
 
 
-def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``column``, or of one row."""
+def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 1 << 20, caches: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column``, or of one row. Without ``caches``, none are kept meanwhile."""
+    if not caches:
+        without_caches()
     for b in batches:
         at = blob(b.column(column))[1]
         i = 0
@@ -117,6 +121,11 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "raw", limit: int = 1
     tidy()
 
 
+def without_caches() -> None:
+    for free in CACHES:
+        free()
+
+
 def tidy() -> None:
     """Give back what this process does not use; Python workers live on from task to task."""
     gc.collect()
@@ -152,6 +161,7 @@ def batch_of(schema: str, columns: list) -> pa.RecordBatch:
 
 def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Of batches sorted by ``key``: one table for each run of equal keys, held in memory one at a time."""
+    without_caches()
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:

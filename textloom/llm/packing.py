@@ -212,7 +212,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
-        for b in small(batches):
+        for b in small(batches, caches=True):
             names, rows = b.column("doc_id"), []
             for i, got in enumerate(tokens.ids(path).of([x.decode() for x in b.column("raw").to_pylist()])):
                 whole = got + END.to_bytes(4, "little")

@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
             held, size, names, at = [], 0, [], at + 1
             return row
 
-        for b in small(batches):
+        for b in small(batches, caches=True):
             for got in tokens.ids(path, True).of([x.decode() for x in b.column("raw").to_pylist()]):
                 ids = np.frombuffer(got, np.uint32)
                 if len(ids) and (int(ids.max()) > np.iinfo(kind).max or (ids == end).any()):

@@ -7,6 +7,8 @@ import functools
 import os
 from array import array
 
+from .common import CACHES
+
 #: Pieces that a process keeps in each of two generations, about 0.2 KB each.
 KEPT_WORDS = 400_000
 
@@ -79,3 +81,6 @@ class Ids:
 @functools.cache
 def ids(path: str, ordinary: bool = False) -> Ids:
     return Ids(path, ordinary)
+
+
+CACHES.append(ids.cache_clear)
