@@ -1,14 +1,18 @@
 """Census, dictionary and tokenization (survey 2.4, first half)."""
 
+#: Words of the dictionary.
+POOL = 44_515
+
 _TOK = "SELECT doc_id, explode(regexp_extract_all(fold(text), '[a-z]+', 0)) AS tok FROM @documents"
 _CENSUS = f"SELECT tok, count(*) AS cnt FROM ({_TOK}) GROUP BY tok"
-_POOL = f"SELECT tok, cnt FROM ({_CENSUS}) ORDER BY cnt DESC, tok LIMIT 4000"
+_POOL = f"SELECT tok, cnt FROM ({_CENSUS}) ORDER BY cnt DESC, tok LIMIT {POOL}"
 _RANKS = f"SELECT tok, cnt, row_number() OVER (ORDER BY cnt DESC, tok) - 1 AS r FROM ({_POOL})"
 _LEN = "CASE WHEN r < 80 THEN 1 WHEN r < 3920 THEN 2 WHEN r < 44880 THEN 3 ELSE 0 END"
-_CODE = """CASE WHEN r < 80 THEN 80 + r + 48
- WHEN r < 3920 THEN (208 + (r - 80) DIV_ 80) * 256 + 128 + (r - 80) % 80
- WHEN r < 44880 THEN (240 + (r - 3920) DIV_ 80 DIV_ 32) * 65536 + (208 + (r - 3920) DIV_ 80 % 32) * 256 + 128 + (r - 3920) % 80
- ELSE 0 END""".replace("80 + r + 48", "128 + r")
+#: A codeword as a number, its first byte in the lowest place.
+_CODE = """CASE WHEN r < 80 THEN 128 + r
+ WHEN r < 3920 THEN 208 + (r - 80) DIV_ 80 + (128 + (r - 80) % 80) * 256
+ WHEN r < 44880 THEN 240 + (r - 3920) DIV_ 80 DIV_ 32 + (208 + (r - 3920) DIV_ 80 % 32) * 256 + (128 + (r - 3920) % 80) * 65536
+ ELSE 0 END"""
 _CASED = "SELECT doc_id, n, element_at_1(toks, n) AS tok FROM (SELECT doc_id, toks, explode(sequence(1, size(toks))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z]?[a-z]+|[A-Z]+', 0) AS toks FROM @documents) WHERE size(toks) > 0)"
 
 QUERIES = {
@@ -16,7 +20,7 @@ QUERIES = {
     "vocab_topk": _POOL,
     "dict_rank": f"SELECT tok, r FROM ({_RANKS})",
     "codeword": f"SELECT tok, r, CAST({_CODE} AS BIGINT) AS code, CAST({_LEN} AS BIGINT) AS n_bytes FROM ({_RANKS})",
-    "codeword_decode": f"SELECT tok, CAST(CASE WHEN code < 256 THEN code - 128 WHEN code < 65536 THEN (code DIV_ 256 - 208) * 80 + code % 256 - 128 + 80 ELSE ((code DIV_ 65536 - 240) * 32 + code DIV_ 256 % 256 - 208) * 80 + code % 256 - 128 + 3920 END AS BIGINT) AS r FROM (SELECT tok, CAST({_CODE} AS BIGINT) AS code FROM ({_RANKS}))",
+    "codeword_decode": f"SELECT tok, CAST(CASE WHEN code < 256 THEN code - 128 WHEN code < 65536 THEN (code % 256 - 208) * 80 + code DIV_ 256 - 128 + 80 ELSE ((code % 256 - 240) * 32 + code DIV_ 256 % 256 - 208) * 80 + code DIV_ 65536 - 128 + 3920 END AS BIGINT) AS r FROM (SELECT tok, CAST({_CODE} AS BIGINT) AS code FROM ({_RANKS}))",
     "dict_members": f"SELECT DISTINCT t.tok FROM ({_TOK}) t WHERE t.tok IN (SELECT tok FROM ({_POOL}))",
     "dict_stragglers": f"SELECT t.tok, count(*) AS cnt FROM ({_TOK}) t LEFT JOIN ({_POOL}) p ON t.tok = p.tok WHERE p.tok IS NULL GROUP BY t.tok",
     "dict_gaps": f"SELECT tok, place, CASE WHEN place > before THEN place - before ELSE 0 END AS gap, before IS NULL OR place < before AS restart FROM (SELECT tok, r, place, lag(place) OVER (ORDER BY r) AS before FROM (SELECT tok, r, row_number() OVER (ORDER BY tok) AS place FROM ({_RANKS})))",
@@ -26,7 +30,5 @@ QUERIES = {
  SELECT tok, substr(tok, length(tok) - n + 1, n) AS part, 'suffix' AS kind FROM (SELECT tok, explode(sequence(7, length(tok) - 1)) AS n FROM ({_CENSUS}) WHERE length(tok) > 7)
  UNION ALL SELECT tok, substr(tok, 1, n) AS part, 'prefix' AS kind FROM (SELECT tok, explode(sequence(7, length(tok) - 1)) AS n FROM ({_CENSUS}) WHERE length(tok) > 7))
  WHERE part IN (SELECT tok FROM ({_POOL}))) WHERE best = 1""",
-    "byte_permute": "SELECT doc_id, translate(text, '0123456789:;<=>?', '?>=<;:9876543210') AS permuted FROM @documents",
-    "escape_bytes": "SELECT doc_id, regexp_replace(text, '([@#])', '~#1', GLOBAL_) AS escaped FROM @documents",
     "tokens_per_lang": "SELECT lang, count(*) AS n, count(DISTINCT tok) AS kinds FROM (SELECT lang, explode(regexp_extract_all(fold(text), '[a-z]+', 0)) AS tok FROM @documents) GROUP BY lang",
 }

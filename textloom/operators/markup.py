@@ -22,7 +22,7 @@ QUERIES = {
     "entity_round_trip": f"SELECT page_id, {chain(chain('html', _FIRST), [(b, a) for a, b in reversed(_FIRST)])} = html AS same FROM @pages WHERE {_SAFE}",
     "entity_counts": "SELECT page_id, CAST((length(html) - length(replace(html, '&amp;', ''))) / 5 AS BIGINT) AS n_amp, CAST((length(html) - length(replace(html, '&lt;', ''))) / 4 AS BIGINT) AS n_lt FROM @pages",
     "run_collapse": "SELECT page_id, " + chain(chain("html", [("{{{", "\x01"), ("[[[", "\x02")]), [("{{", "\x03"), ("[[", "\x04"), ("{", "{{"), ("[", "[["), ("\x03", "{"), ("\x04", "["), ("\x01", "{{{"), ("\x02", "[[[")]) + " AS collapsed FROM @pages",
-    "close_tag_strip": "SELECT page_id, n, regexp_replace(regexp_replace(line, '^ *<', ''), '</[^<]*$', '') AS kept FROM (SELECT page_id, n, element_at_1(split_lines(html), n) AS line FROM (SELECT page_id, html, explode(sequence(1, size(split_lines(html)))) AS n FROM @pages)) WHERE rlike(line, '^ *<[a-z0-9]+[^<>]*>[^<>]*</[a-z0-9]+>$')",
+    "close_tag_strip": "SELECT page_id, n, regexp_replace(regexp_replace(line, '^ *<', ''), '</[^<]*$', '') AS kept FROM (SELECT page_id, n, element_at_1(split_lines(h), n) AS line FROM (SELECT page_id, h, explode(sequence(1, size(split_lines(h)))) AS n FROM (SELECT page_id, replace(html, '><', concat('>', chr(10), '<')) AS h FROM @pages))) WHERE rlike(line, '^ *<[a-z0-9]+[^<>]*>[^<>]*</[a-z0-9]+>$')",
     "ts_code": f"SELECT event_id, {_TS} AS code FROM @events WHERE year(ts) BETWEEN 2001 AND 2100",
     "ts_decode": f"SELECT event_id, CAST(2001 + CAST(substr(code, 1, 2) AS BIGINT) AS BIGINT) AS y, CAST(floor(CAST(d AS BIGINT) / 31) + 1 AS BIGINT) AS mo, CAST(CAST(d AS BIGINT) % 31 + 1 AS BIGINT) AS dy, CAST(floor(CAST(s AS BIGINT) / 3600) AS BIGINT) AS h FROM (SELECT event_id, code, regexp_extract(code, '^..([0-9]*):', 1) AS d, regexp_extract(code, ':([0-9]*)$', 1) AS s FROM (SELECT event_id, {_TS} AS code FROM @events WHERE year(ts) BETWEEN 2001 AND 2100))",
     "id_delta": "SELECT user_id, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta FROM @events",

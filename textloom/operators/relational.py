@@ -23,8 +23,6 @@ QUERIES = {
     "tumbling_window": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM @events GROUP BY event_type, date_trunc('hour', ts)",
     "session_window": "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_id, sum(CASE WHEN ts <= before + INTERVAL '30' MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM @events)) GROUP BY user_id, session",
     "distinct_counts": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM @lineitem GROUP BY l_returnflag",
-    "json_field": "SELECT event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM @events WHERE rlike(props, '\"k\": [0-9]+')",
     "label_join": "SELECT source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM @documents d JOIN @labels l ON d.doc_id = l.doc_id GROUP BY source",
     "conversation_turns": "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT role) AS roles FROM @conversations GROUP BY conv_id",
-    "vector_norms": "SELECT label, count(*) AS n FROM @embeddings GROUP BY label",
 }

@@ -18,12 +18,10 @@ QUERIES = {
     "sentence_types": f"SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN rlike(s, '[?]$') THEN 1 ELSE 0 END) AS BIGINT) AS questions, CAST(sum(CASE WHEN rlike(s, '!$') THEN 1 ELSE 0 END) AS BIGINT) AS exclamations FROM ({_SENT}) GROUP BY doc_id",
     "sentence_words": f"SELECT doc_id, CAST(sum(size(regexp_extract_all(s, '[^ \\\\n]+', 0))) AS BIGINT) AS words, CAST(max(length(s)) AS BIGINT) AS longest FROM ({_SENT}) GROUP BY doc_id",
     "paragraph_counts": "SELECT doc_id, size(split_lines(text)) AS paragraphs, CAST(length(text) - length(replace(text, ',', '')) AS BIGINT) AS commas FROM @documents",
-    "abbreviations": "SELECT tok, count(*) AS n FROM (SELECT explode(regexp_extract_all(text, '[A-Z][a-z]{0,3}[.]', 0)) AS tok FROM @documents) WHERE tok IN ('Mr.', 'Dr.', 'St.', 'No.', 'In.', 'Of.', 'En.', 'Le.', 'La.', 'Die.') GROUP BY tok",
-    "number_tracking": "SELECT doc_id, n, v, v > lag(v) OVER (PARTITION BY doc_id ORDER BY n) AS rising, length(v) AS digits FROM (SELECT doc_id, n, element_at_1(vs, n) AS v FROM (SELECT doc_id, vs, explode(sequence(1, size(vs))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+', 0) AS vs FROM @documents) WHERE size(vs) > 0))",
+    "number_tracking": "SELECT doc_id, n, v, length(z) > length(y) OR (length(z) = length(y) AND z > y) AS rising, digits FROM (SELECT doc_id, n, v, length(v) AS digits, regexp_replace(v, '^0+', '') AS z, lag(regexp_replace(v, '^0+', '')) OVER (PARTITION BY doc_id ORDER BY n) AS y FROM (SELECT doc_id, n, element_at_1(vs, n) AS v FROM (SELECT doc_id, vs, explode(sequence(1, size(vs))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+', 0) AS vs FROM @documents) WHERE size(vs) > 0)))",
     "since_last_capital": "SELECT doc_id, n, n - max(CASE WHEN rlike(w, '^[A-Z]') THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM (SELECT doc_id, n, element_at_1(ws, n) AS w FROM (SELECT doc_id, ws, explode(sequence(1, size(ws))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\\\n]+', 0) AS ws FROM @documents) WHERE size(ws) > 0))",
     "word_history": "SELECT conv_id, turn, n, w, lag(w, 1) OVER (PARTITION BY conv_id, turn ORDER BY n) AS w1, lag(w, 2) OVER (PARTITION BY conv_id, turn ORDER BY n) AS w2 FROM (SELECT conv_id, turn, n, element_at_1(ws, n) AS w FROM (SELECT conv_id, turn, ws, explode(sequence(1, size(ws))) AS n FROM (SELECT conv_id, turn, regexp_extract_all(fold(text), '[a-z]+', 0) AS ws FROM @conversations) WHERE size(ws) > 0))",
     "leading_integer": "SELECT page_id, coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT), 0) AS id FROM @pages",
-    "squash_stretch": "SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS p, round(ln((0.5 + value / 1000) / (1.5 - value / 1000)), 6) AS logit FROM @events WHERE value BETWEEN 0 AND 999",
     "discretise": "SELECT event_id, CAST(floor(1 + 65534 * (value / (value + 1))) AS BIGINT) AS q, CAST(greatest(-2047, least(2047, CAST(floor(value * 10) AS BIGINT))) AS BIGINT) AS clipped FROM @events WHERE value >= 0",
     "ilog": "SELECT o_orderkey, CAST(length(regexp_replace(bin_of(o_orderkey), '^0+', '')) - 1 AS BIGINT) AS ilog2, CAST(bit_count(o_orderkey) AS BIGINT) AS ones FROM @orders WHERE o_orderkey > 0",
 }

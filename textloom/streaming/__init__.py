@@ -34,19 +34,19 @@ def distinct_events(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def running_mean(rows: DataFrame) -> DataFrame:
-    """(event_type, n, mean): a predictor's state for each key, updated with every batch."""
+    """(event_type, n, mean): a predictor's state for each key, updated with every batch; a null value is in n, not in the mean."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(key, batches, state):
         import pandas as pd
 
-        n, total = state.get if state.exists else (0, 0.0)
+        n, known, total = state.get if state.exists else (0, 0, 0.0)
         for b in batches:
-            n, total = n + len(b), total + float(b["value"].fillna(0).sum())
-        state.update((n, total))
-        yield pd.DataFrame({"event_type": [key[0]], "n": [n], "mean": [total / n if n else 0.0]})
+            n, known, total = n + len(b), known + int(b["value"].notna().sum()), total + float(b["value"].sum())
+        state.update((n, known, total))
+        yield pd.DataFrame({"event_type": [key[0]], "n": [n], "mean": [total / known if known else None]})
 
-    return rows.groupBy("event_type").applyInPandasWithState(update, "event_type string, n long, mean double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("event_type").applyInPandasWithState(update, "event_type string, n long, mean double", "n long, known long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str, name: str, key: list[str] | None = None) -> DataFrame:
@@ -83,6 +83,6 @@ ORACLES = {
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_sliding": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '30' MINUTE, ts) - unnest([0, 30]) * INTERVAL '1' MINUTE AS start FROM events) GROUP BY start",
     "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN ts <= before + INTERVAL '30' MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s",
-    "stream_running_mean": "SELECT event_type, count(*) AS n, round(avg(coalesce(value, 0)), 6) AS mean FROM events GROUP BY event_type",
+    "stream_running_mean": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "stream_distinct": "SELECT event_id, user_id FROM events",
 }
