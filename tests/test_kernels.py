@@ -5,7 +5,9 @@ from collections import Counter
 
 import numpy as np
 
-from textloom.operators import dictionary, kernels
+from pyspark.sql import functions as F
+
+from textloom.operators import contexts, dictionary, kernels
 
 
 def chars(text):
@@ -49,3 +51,30 @@ def test_costs_one_character_at_a_time():
 def test_gaps_depths_and_distances():
     assert kernels._gaps(chars("abcabcabcabc")) == [(3, 3)] and kernels._gaps(chars("ab")) == [] and kernels._gaps(chars("aaaa")) == [(1, 1)]
     assert kernels._depths(chars("(a[b]{c}")) == [(2, 1)] and kernels._distances(chars("ab cd")) == [(513, 255)]
+
+
+def test_places_in_lines():
+    assert contexts.line_bounds(chars("a\nbb\n")) == [(0, 0, 1), (1, 2, 4), (2, 5, 5)] and contexts.line_bounds(chars("x")) == [(0, 0, 1)]
+    assert contexts.line_places(chars("ab\ncd")) == [(0 + 1 + 2 + 0 + 1, 2)] and contexts.line_places(chars("a" * 150)) == [(4950 + 99 * 50, 99)]
+    assert contexts.quantised(chars("ab")) == [] and contexts.quantised(chars("a a")) == [(3 * 64 + 1 * 8 + 3, 1)]
+
+
+def test_sparse_matches():
+    got = {k: (tried, hits) for k, tried, hits in contexts.sparse_matches(contexts.words("A b c a b c a x c a b"))}
+    want = {}
+    text = "a b c a b c a x c a b".split()
+    for back in contexts.SPARSE:
+        last, tried, hits = {}, 0, 0
+        for i in range(max(back), len(text)):
+            key = tuple(text[i - b] for b in back)
+            tried, hits = tried + (key in last), hits + (last.get(key) == text[i])
+            last[key] = text[i]
+        want["".join(map(str, back))] = (tried, hits)
+    assert got == want and contexts.sparse_matches(contexts.words("1 2")) == []
+
+
+def test_numbers(spark):
+    rows = [" \t-12x", "+7", "x9", "", "99999999999999999999", "18446744073709551615", "18446744073709551616", "0000000000000000000000007", "9223372036854775808", None]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select(contexts.leading_number(F.col("t")).alias("a"), contexts.exact_number(F.col("t")).cast("string").alias("b")).collect()
+    assert [r.a for r in got] == [-12, 7, 0, 0, None, None, None, 7, None, None]
+    assert [r.b for r in got] == [None, None, None, None, None, "18446744073709551615", None, "7", "9223372036854775808", None]

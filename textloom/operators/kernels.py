@@ -17,8 +17,12 @@ from pyspark.sql.types import StructType
 from ..sources import table
 
 
-def per_text(docs: DataFrame, keep: list[str], schema: str, f: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-    """``keep`` and the columns of ``schema``: the rows that ``f`` makes of the code points of each text; none for null or empty ones."""
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def per_text(docs: DataFrame, keep: list[str], schema: str, f: Callable, form: Callable[[str], object] = code_points) -> DataFrame:
+    """``keep`` and the columns of ``schema``: the rows that ``f`` makes of a text's ``form``; none for null or empty ones."""
     kind = docs.select(*keep).schema
     for field in StructType.fromDDL(schema):
         kind = kind.add(field)
@@ -29,10 +33,10 @@ def per_text(docs: DataFrame, keep: list[str], schema: str, f: Callable[[np.ndar
             rows, at = [], []
             for i, raw in enumerate(b.column("_raw").to_pylist()):
                 if raw:
-                    got = f(np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64))
+                    got = f(form(raw.decode()))
                     rows += got
                     at += [i] * len(got)
-            types = types or [pa.int64() if x.dataType.simpleString() == "bigint" else pa.float64() for x in kind.fields[len(keep) :]]
+            types = types or [{"bigint": pa.int64(), "string": pa.string()}.get(x.dataType.simpleString(), pa.float64()) for x in kind.fields[len(keep) :]]
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in keep), *made], names=kind.names)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import streaming
-from .operators import AREAS, containers, inverse, kernels, language, scans, sequential
+from .operators import AREAS, containers, contexts, inverse, kernels, language, scans, sequential
 from .plans.sql import oracle, plan
 
 
@@ -16,8 +16,8 @@ def _texts() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: plan(text) for name, text in _texts().items()} | scans.QUERIES | containers.QUERIES | inverse.QUERIES | language.FRAMES | kernels.QUERIES | sequential.QUERIES | streaming.QUERIES
+    return {name: plan(text) for name, text in _texts().items()} | scans.QUERIES | containers.QUERIES | inverse.QUERIES | language.FRAMES | kernels.QUERIES | contexts.QUERIES | sequential.QUERIES | streaming.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(text) for name, text in _texts().items()} | scans.ORACLES | containers.ORACLES | inverse.ORACLES | language.ORACLES | kernels.ORACLES | streaming.ORACLES
+    return {name: oracle(text) for name, text in _texts().items()} | scans.ORACLES | containers.ORACLES | inverse.ORACLES | language.ORACLES | kernels.ORACLES | contexts.ORACLES | streaming.ORACLES
