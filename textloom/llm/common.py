@@ -163,7 +163,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
     """Of batches sorted by ``key``: one table for each run of equal keys, held in memory one at a time."""
     without_caches()
     held: list[pa.RecordBatch] = []
-    last = None
+    last = b = None
     for b in batches:
         if not b.num_rows:
             continue
@@ -178,6 +178,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
             held.append(b.slice(int(i), int(j - i)))
     if held:
         yield pa.Table.from_batches(held)
+    held, b = [], None
+    tidy()
 
 
 def letters_folded(c: Column) -> Column:
