@@ -22,7 +22,7 @@ NO_ID = (1 << 63) - 1
 #: While a scratch table is written, shuffles are freed behind it.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Small Arrow batches, so that neither executors nor Python workers hold much of a long text at once.
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 #: What frees the caches that an operator keeps in a Python process from task to task.
 CACHES: list[Callable[[], None]] = []
 #: Bits of the filter that :func:`maybe_in` sends to all tasks, whatever the input.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import batch_of, blob, discard, scratch, small
+from .common import batch_of, blob, discard, scratch, small, tidy, without_caches
 
 #: Turns a batch's bytes and document places into symbols, document places among them, and the bytes' starts and ends.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -84,8 +84,9 @@ def _segments(docs: DataFrame, units: Units, width: int, gram: int, attempt: int
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Of batches sorted by anchor: tables of whole anchors, of about ``BLOCK_BYTES``."""
+    without_caches()
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, b, table = 0, None, None
     for b in batches:
         if not b.num_rows:
             continue
@@ -100,6 +101,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 held, size = table.slice(cut).to_batches(), table.slice(cut).column("part").nbytes
     if held:
         yield pa.Table.from_batches(held)
+    held, b, table = [], None, None
+    tidy()
 
 
 def _islands(cols: list[np.ndarray]) -> list[np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import keyed
+from .common import keyed, tidy, without_caches
 from .repeats import CLAIMS, Block, Decide, Marks, as_words, repeated, verified
 from .rolling import Prefix, mix, words
 
@@ -104,6 +104,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     out = _OUT.format(kind=docs.schema[doc_id].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_caches()
         for b in batches:
             found: list[list] = [[] for _ in range(5)]
             marks, raws = Marks(b, window), b.column("raw")
@@ -120,6 +121,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             arrays = [b.column("doc_id"), *(pa.array(v, k) for v, k in zip(found, kinds, strict=True)), marks.claimed()]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "n_repeats", "kept_sha256", "kept", "claims"])
+        tidy()
 
     done = verified(lambda attempt: _marked(rows, rows, window, seed, attempt).select("_id", "_h", "doc_id", "raw", "marks").mapInArrow(cut, out), "substring")
     return done.withColumn("kept", F.col("kept").cast("string"))
@@ -136,6 +138,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     schema = rows.select("row").schema.add("cut", "boolean").add("kept", "string").add(StructType.fromDDL(CLAIMS)["claims"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_caches()
         for b in batches:
             marks, raws, kept, touched = Marks(b, window), b.column("row").field(text), [], []
             for i in range(b.num_rows):
@@ -144,6 +147,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
                 touched.append(bool(mask.any()))
                 kept.append(_without(raw, mask).decode() if touched[-1] else None)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(touched, pa.bool_()), pa.array(kept, pa.string()), marks.claimed()], names=["row", "cut", "kept", "claims"])
+        tidy()
 
     plain = keyed(docs, doc_id, text)
     found = verified(lambda attempt: _marked(plain, rows, window, seed, attempt).select("_id", "_h", "row", "marks").mapInArrow(cut, schema), "substring")
