@@ -9,8 +9,10 @@ from array import array
 
 from .common import CACHES
 
-#: Pieces that a process keeps in each of two generations, about 0.2 KB each.
-KEPT_WORDS = 400_000
+#: Pieces that a process keeps in each of two generations, about 0.3 KB each.
+KEPT_WORDS = 100_000
+#: Marks of pieces seen once, a byte each; a piece is kept from the second time on.
+SEEN = 1 << 20
 
 
 def default_path() -> str:
@@ -30,7 +32,7 @@ class Ids:
     """of(texts): for each text the tokenizer's encode(text, add_special_tokens=False).ids, as little-endian 32-bit bytes.
 
     A byte-level BPE tokenizer splits a text by a pattern and encodes each piece by itself, so the tokenizer's model gets
-    every piece once, and pieces seen before are looked up. Pieces not used in a whole generation are forgotten. A text that
+    every piece once or twice, and pieces seen more often are looked up. Pieces not used in a whole generation are forgotten. A text that
     holds one of the special tokens goes to the tokenizer whole; with ``ordinary``, such strings are text like other text.
     """
 
@@ -46,13 +48,18 @@ class Ids:
         self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
 
     def _learn(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
             got = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            seat = hash(piece) % SEEN
+            if not self.seen[seat]:
+                self.seen[seat] = 1
+                return got
         if len(self.young) >= KEPT_WORDS:
-            self.young, self.old = {}, self.young
+            self.young, self.old, self.seen = {}, self.young, bytearray(SEEN)
         self.young[piece] = got
         return got
 
