@@ -10,7 +10,7 @@ from array import array
 from .common import CACHES
 
 #: Pieces that a process keeps in each of two generations, about 0.3 KB each.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 150_000
 #: Marks of pieces seen once, a byte each; a piece is kept from the second time on.
 SEEN = 1 << 20
 
