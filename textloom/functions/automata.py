@@ -34,13 +34,18 @@ class Dmc:
         self.at = to
 
 
+    def cost(self, data: bytes) -> float:
+        """Bits that these bytes take from here on."""
+        total = 0.0
+        for b in data:
+            for k in range(7, -1, -1):
+                bit = b >> k & 1
+                p = self.p1()
+                total -= math.log2(p if bit else 1 - p)
+                self.step(bit)
+        return total
+
+
 def dmc_bits(data: bytes) -> float:
     """Cost of a document in bits, its own past being all the automaton knows."""
-    model, total = Dmc(), 0.0
-    for b in data:
-        for k in range(7, -1, -1):
-            bit = b >> k & 1
-            p = model.p1()
-            total -= math.log2(p if bit else 1 - p)
-            model.step(bit)
-    return total
+    return Dmc().cost(data)

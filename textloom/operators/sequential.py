@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import automata, coding
+from ..functions import coding, lockstep
 from ..sources import table
 
 
@@ -20,6 +20,17 @@ def mapped(f, kind: str):
     return run
 
 
+def mapped_together(f, kind: str):
+    """A vectorised column function of the values of a batch, all at once; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        some = values.dropna()
+        return pd.Series(f(some.tolist()), some.index, dtype=object).reindex(values.index)
+
+    return run
+
+
 def _raw(c: str) -> Column:
     return F.col(c).cast("binary")
 
@@ -69,7 +80,7 @@ QUERIES = {
     "text_segments": lambda s, d: _docs(s, d).select("doc_id", F.explode(mapped(lambda b: [{"kind": k, "start": a, "length": n} for k, a, n in coding.segments(b)], "array<struct<kind:string,start:long,length:long>>")(_raw("text"))).alias("x")).select("doc_id", "x.*"),
     "bracket_context": lambda s, d: _docs(s, d).select("doc_id", mapped(lambda t: max(coding.brackets(t), default=0), "long")("text").alias("deepest_context")),
     "ppm_cost": lambda s, d: _docs(s, d).select("doc_id", mapped(coding.ppm_bits, "double")(_raw("text")).alias("bits")),
-    "dmc_cost": lambda s, d: _docs(s, d).select("doc_id", mapped(automata.dmc_bits, "double")(_raw("text")).alias("bits")),
+    "dmc_cost": lambda s, d: _docs(s, d).select("doc_id", mapped_together(lockstep.dmc_bits, "double")(_raw("text")).alias("bits")),
     "mixer_cost": lambda s, d: _docs(s, d).select("doc_id", mapped(coding.mixed_bits, "double")(_raw("text")).alias("bits")),
     "range_coder_round_trip": lambda s, d: _docs(s, d).select("doc_id", mapped(lambda b: coding.range_decode(coding.range_encode(b)) == b, "boolean")(_raw("text")).alias("same"), mapped(lambda b: len(coding.range_encode(b)), "long")(_raw("text")).alias("n_bytes")),
     "varint_bytes": lambda s, d: table(s, d, "orders").select("o_orderkey", mapped(lambda x: coding.varint(int(x)).hex(), "string")("o_orderkey").alias("code")),
