@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from textloom.functions import automata, lockstep
+from textloom.functions import automata, coding, lockstep
 from textloom.operators import sequential
 
 R = random.Random(5)
@@ -10,15 +10,16 @@ TEXTS = [b"", b"a", b"\0\0\0", b"ab" * 400, "prose É ".encode() * 90, bytes(R.r
 TEXTS += [b"the cat sat on the mat. " * R.randrange(1, 30) + bytes(R.choices(b"abc ", k=R.randrange(200))) for _ in range(40)]
 
 
-@pytest.fixture(params=[(lockstep.GROUP, 24), (lockstep.GROUP, 0), (2000, 2)], ids=["default", "no rest", "many groups"])
+@pytest.fixture(params=[(lockstep.GROUP, lockstep.ROWS, 24), (lockstep.GROUP, lockstep.ROWS, 0), (2000, 40, 2)], ids=["default", "no rest", "many groups"])
 def sizes(request, monkeypatch):
-    for name, value in zip(("GROUP", "FEW"), request.param, strict=True):
+    for name, value in zip(("GROUP", "ROWS", "FEW"), request.param, strict=True):
         monkeypatch.setattr(lockstep, name, value)
 
 
 def test_costs(sizes):
     assert lockstep.dmc_bits(TEXTS) == pytest.approx([automata.dmc_bits(t) for t in TEXTS], rel=1e-9)
-    assert lockstep.dmc_bits([]) == []
+    assert lockstep.mixed_bits(TEXTS) == pytest.approx([coding.mixed_bits(t) for t in TEXTS], rel=1e-9)
+    assert lockstep.dmc_bits([]) == lockstep.mixed_bits([]) == []
 
 
 def test_limit_of_states(monkeypatch):

@@ -81,7 +81,7 @@ QUERIES = {
     "bracket_context": lambda s, d: _docs(s, d).select("doc_id", mapped(lambda t: max(coding.brackets(t), default=0), "long")("text").alias("deepest_context")),
     "ppm_cost": lambda s, d: _docs(s, d).select("doc_id", mapped(coding.ppm_bits, "double")(_raw("text")).alias("bits")),
     "dmc_cost": lambda s, d: _docs(s, d).select("doc_id", mapped_together(lockstep.dmc_bits, "double")(_raw("text")).alias("bits")),
-    "mixer_cost": lambda s, d: _docs(s, d).select("doc_id", mapped(coding.mixed_bits, "double")(_raw("text")).alias("bits")),
+    "mixer_cost": lambda s, d: _docs(s, d).select("doc_id", mapped_together(lockstep.mixed_bits, "double")(_raw("text")).alias("bits")),
     "range_coder_round_trip": lambda s, d: _docs(s, d).select("doc_id", mapped(lambda b: coding.range_decode(coding.range_encode(b)) == b, "boolean")(_raw("text")).alias("same"), mapped(lambda b: len(coding.range_encode(b)), "long")(_raw("text")).alias("n_bytes")),
     "varint_bytes": lambda s, d: table(s, d, "orders").select("o_orderkey", mapped(lambda x: coding.varint(int(x)).hex(), "string")("o_orderkey").alias("code")),
     "numeric_entities": lambda s, d: table(s, d, "pages").select("page_id", numeric_entities(F.col("html")).alias("folded")),
